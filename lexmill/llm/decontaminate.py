@@ -8,9 +8,10 @@ length and positional bounds (the window must lie inside the document) prune can
 the window's words at that place is verified.
 
 How it runs. Built-in expressions only: split, transform, explode, hash joins and windows. The benchmark side is
-broadcast if its counted windows stay below `broadcast_windows`, otherwise the same joins shuffle. Two passes read the
-documents: one for the counts, one for the join; the words travel with the exploded shingles inside one generated loop
-and are copied only for matches. What is shuffled is matches, one row a document and word counts.
+broadcast if its counted windows stay below `broadcast_windows`, otherwise the same joins shuffle. One pass reads the
+documents: shingles of the benchmark are matched by hash inside one generated loop, and each match is written with the
+words around it, enough to verify any window through it. Rarity, the prefix join and verification work on those
+matches; what is shuffled is matches, found places and one row a document.
 
 Defined results: a null or empty text has no words and no hits; null, empty and wordless items have no windows. Items
 that share words are each counted. Rows that share an id are judged together and give one row (n_words: of the longest).
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import alnum_words, checkpointed
+from lexmill.llm.common import alnum_words, checkpointed, written
 
 #: Hash of the entry that every document has, by which it meets the join once whatever its words are.
 EVERY = 0
@@ -65,24 +66,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sizes = [r["n"] for r in held.select(_shingles(F.size("words")).alias("n")).distinct().collect()] or [SHINGLE]
     small = held.count() <= broadcast_windows
     side = F.broadcast if small else (lambda x: x)
-
-    def spread(df: DataFrame) -> DataFrame:
-        return df.select("doc_id", "w", F.explode(F.concat(F.array(F.struct(F.lit(EVERY).cast("long").alias("h"), F.lit(-1).alias("at"))), _rolling(F.col("w"), sizes))).alias("g")).select("doc_id", "w", "g.h", "g.at")
-
     texts = held.select("words").distinct()
-    parts = texts.select("words", _shingles(F.size("words")).alias("n")).select("words", F.expr(f"explode(transform(sequence(0, size(words) - n), i -> struct(CASE n {' '.join(f'WHEN {k} THEN xxhash64({k}, ' + ', '.join(f'words[i + {j}]' for j in range(k)) + ')' for k in range(1, SHINGLE + 1))} END AS h, i AS o)))").alias("g")).select("words", "g.h", "g.o")
-    counts = spread(rows).join(side(parts.select("h").distinct()), "h").groupBy("h").count()
-    rarity = parts.join(counts, "h", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    hashes = " ".join(f"WHEN {k} THEN xxhash64({k}, " + ", ".join(f"words[i + {j}]" for j in range(k)) + ")" for k in range(1, SHINGLE + 1))
+    parts = texts.withColumn("n", _shingles(F.size("words"))).select("words", F.expr(f"inline(transform(sequence(0, size(words) - n), i -> struct(CASE n {hashes} END AS h, i AS o)))"))
+    keys = parts.select("h").union(docs.sparkSession.range(1).select(F.lit(EVERY).cast("long"))).distinct()
+    first = F.greatest(F.col("at") - (window - 1), F.lit(0))
+    met = rows.select("doc_id", "w", F.explode(F.concat(F.array(F.struct(F.lit(EVERY).cast("long").alias("h"), F.lit(-1).alias("at"))), _rolling(F.col("w"), sizes))).alias("g"))
+    met = met.select("doc_id", "w", "g.h", "g.at").join(side(keys), "h")
+    met = met.select("doc_id", "h", "at", F.when(F.col("at") < 0, F.size("w")).alias("n_words"), F.when(F.col("at") >= 0, F.slice("w", first + 1, 2 * window)).alias("near"), first.alias("first"))
+    met = written(met, "benchmark-matches")
+    matches = met.where("at >= 0")
     # the prefix: of each window's shingles the rarest, the leftmost of equals
-    prefix = rarity.groupBy("words").agg(F.min(F.struct("count", "o", "h")).alias("p")).select(F.col("p.h").alias("h"), F.col("p.o").alias("o"), "words")
-    prefix = checkpointed(prefix)
-    entry = prefix.sparkSession.range(1).select(F.lit(EVERY).cast("long").alias("h"), F.lit(-1).alias("o"), F.array().cast("array<string>").alias("words"))
+    rarity = parts.join(matches.groupBy("h").count(), "h", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    prefix = rarity.groupBy("words").agg(F.min(F.struct("count", "o", "h")).alias("p")).where("p.count > 0").select("p.h", "p.o", "words")
     start, size = F.col("at") - F.col("o"), F.size("words")
-    fits = (start >= 0) & (start + size <= F.size("w"))
-    found = spread(rows).join(side(prefix.unionByName(entry)), "h")
-    found = found.where(((F.col("at") == -1) & (F.col("o") == -1)) | ((F.col("at") >= 0) & (F.col("o") >= 0) & fits & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.greatest(size, F.lit(0))) == F.col("words"))))
-    found = checkpointed(found.select("doc_id", F.when(F.col("at") == -1, F.size("w")).alias("n_words"), F.when(F.col("at") >= 0, start).alias("s"), F.when(F.col("at") >= 0, F.col("words")).alias("words")))
-    spots = found.where("s IS NOT NULL").select("doc_id", "s", "words").distinct()
+    spots = matches.join(side(prefix), "h").where(start >= 0).where(start - F.col("first") + size <= F.size("near"))
+    spots = spots.where(F.slice("near", F.greatest(start - F.col("first"), F.lit(0)) + 1, size) == F.col("words"))
+    spots = checkpointed(spots.select("doc_id", start.alias("s"), "words").distinct())
     # the union of the occurrences' spans, by document: what each adds beyond the furthest end before it
     order = Window.partitionBy("doc_id").orderBy("s")
     ends = spots.groupBy("doc_id", "s").agg(F.max(F.col("s") + F.size("words")).alias("e"))
@@ -90,7 +90,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = ends.withColumn("new", F.greatest(F.col("e") - F.greatest("s", before), F.lit(0))).groupBy("doc_id").agg(F.sum("new").alias("n_hit"))
     items = spots.select("doc_id", "words").distinct().join(side(held), "words").select("doc_id", F.col("item").cast("string").alias("item")).distinct()
     items = items.groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    all_ = found.where("n_words IS NOT NULL").groupBy("doc_id").agg(F.max("n_words").cast("long").alias("n_words"))
+    all_ = met.where("at < 0").groupBy("doc_id").agg(F.max("n_words").cast("long").alias("n_words"))
     hit = hits.join(items, hits["doc_id"].eqNullSafe(items["doc_id"])).select(hits["doc_id"].alias("id"), "n_hit", "items")
     return all_.join(hit, all_["doc_id"].eqNullSafe(hit["id"]), "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
