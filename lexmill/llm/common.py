@@ -35,6 +35,16 @@ def alnum_words(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_ALNUM), lambda w: w != "")
 
 
+def let(df: DataFrame, **values: Column) -> DataFrame:
+    """Adds columns that are computed once a row: no later filter or projection is rewritten to compute them again.
+
+    A generator of one element stands between; the optimizer neither inlines its output nor pushes predicates through.
+    """
+    for name, value in values.items():
+        df = df.select("*", F.explode(F.array(value)).alias(name))
+    return df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

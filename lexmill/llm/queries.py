@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.decontaminate import contamination
 from lexmill.llm.line_dedup import dedup_lines
+from lexmill.llm.quality_rules import fit_rules, judge
 from lexmill.llm.simhash import near_duplicates
 from lexmill.llm.substring_dedup import dedup_substrings
 
@@ -38,11 +39,19 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = judge(docs, fit_rules(docs, _table(spark, sf_dir, "labels")))
+    base = [F.col(f"_q.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return found.select("doc_id", *base, F.col("_q_failed").alias("base_failed"), F.col("_q_kept").alias("kept"), F.col("_q_rule").alias("rule"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op9_simhash": op9_simhash,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
