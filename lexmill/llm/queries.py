@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexmill.llm.decontaminate import contamination
 from lexmill.llm.license_scan import scan_licenses
 from lexmill.llm.line_dedup import dedup_lines
+from lexmill.llm.pii import KINDS, find_personal_data
 from lexmill.llm.quality_rules import fit_rules, judge
 from lexmill.llm.simhash import near_duplicates
 from lexmill.llm.substring_dedup import dedup_substrings
@@ -40,6 +41,14 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(_table(spark, sf_dir, "documents"), redact=False)
+    base = F.filter("spans", lambda s: s["base"])
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    counts = [F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}") for kind in KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told("spans").alias("spans"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -57,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_license_scan": op3_license_scan,
     "op6_decontaminate": op6_decontaminate,
+    "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
