@@ -12,6 +12,7 @@ from lexmill.llm.common import let
 from lexmill.llm.decontaminate import contamination
 from lexmill.llm.license_scan import scan_licenses
 from lexmill.llm.line_dedup import dedup_lines
+from lexmill.llm.mixing import DOMAINS, WEIGHTS, mix
 from lexmill.llm.pii import KINDS, find_personal_data
 from lexmill.llm.quality_rules import fit_rules, judge
 from lexmill.llm.simhash import near_duplicates
@@ -57,6 +58,39 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return found.select("doc_id", "mix.domain", "mix.lang", "mix.source", "mix.epoch", "mix.budget")
+
+
+def _mix_sql() -> str:
+    cases = lambda column, values, other: f"CASE {' '.join(f'WHEN {column} = {chr(39)}{k}{chr(39)} THEN {v}' for k, v in values)} ELSE {other} END"
+    domain = cases("source", [(s, f"'{d}'") for d, members in DOMAINS.items() for s in members], "'other'")
+    sql, above = "", "root"
+    names = ["domain", "lang", "source"]
+    for k, level in enumerate(names):
+        path, family = ", ".join(names[: k + 1]), f"PARTITION BY {', '.join(names[:k])}" if k else ""
+        on = " AND ".join(f"n.{p} IS NOT DISTINCT FROM a.{p}" for p in names[:k]) or "true"
+        weight = cases(level, WEIGHTS[level].items(), "1.0") if WEIGHTS[level] else "1.0"
+        sql += f"""
+n{k} AS (SELECT n.*, a.budget, CAST({weight.replace(level, 'n.' + level)} AS DOUBLE) AS w FROM (SELECT {path}, CAST(sum(tokens) * 2 AS DOUBLE) AS cap FROM leaves GROUP BY {path}) n JOIN {above} a ON {on}),
+m{k} AS (SELECT *, budget - (sum(cap) OVER u - cap) AS l, sum(w) OVER ({family}) - (sum(w) OVER u - w) AS r FROM n{k} WINDOW u AS ({family} ORDER BY cap / w, {level} ROWS UNBOUNDED PRECEDING)),
+f{k} AS (SELECT *, cap * r <= l * w * (1 + 1e-12) AS whole FROM m{k}),
+b{k} AS (SELECT {path}, CASE WHEN whole THEN cap ELSE w * max(CASE WHEN NOT whole THEN l / r END) OVER ({family}) END AS budget FROM f{k}),"""
+        above = f"b{k}"
+    return rf"""
+WITH d AS (SELECT doc_id, {domain} AS domain, lang, source, len(coalesce(regexp_extract_all(text, '[^ 	-]+'), [])) AS tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(tokens) AS tokens FROM d GROUP BY ALL HAVING sum(tokens) > 0),
+root AS (SELECT least(floor(sum(tokens) * 0.8::DOUBLE + 1e-6), sum(tokens) * 2) AS budget FROM leaves),{sql}
+leaf AS (SELECT leaves.*, CAST(floor(b2.budget + 1e-6) AS BIGINT) AS budget FROM leaves JOIN b2 ON b2.domain = leaves.domain AND b2.lang IS NOT DISTINCT FROM leaves.lang AND b2.source IS NOT DISTINCT FROM leaves.source),
+t AS (SELECT d.*, budget, CAST(floor(budget / leaf.tokens) AS INTEGER) AS whole, budget - CAST(floor(budget / leaf.tokens) AS INTEGER) * leaf.tokens AS rest
+  FROM d JOIN leaf ON leaf.domain = d.domain AND leaf.lang IS NOT DISTINCT FROM d.lang AND leaf.source IS NOT DISTINCT FROM d.source),
+o AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('17:' || whole || ':' || doc_id) RANGE UNBOUNDED PRECEDING) AS upto FROM t),
+e AS (SELECT *, whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS times FROM o)
+SELECT doc_id, domain, lang, source, CAST(unnest(range(0, times)) AS INTEGER) AS epoch, budget FROM e
+"""
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(_table(spark, sf_dir, "documents"), redact=False)
     base = F.filter("spans", lambda s: s["base"])
@@ -83,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_chat_format": op4_chat_format,
     "op6_decontaminate": op6_decontaminate,
+    "op7_mixing": op7_mixing,
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
@@ -133,4 +168,5 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_ag
   CAST(sum(8 + length(role) + 1 + n + 8) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """,
+    "op7_mixing": _mix_sql(),
 }
