@@ -45,6 +45,17 @@ def let(df: DataFrame, **values: Column) -> DataFrame:
     return df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until no column of df is called so or starts so."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    return [df[f"`{c}`"] for c in df.columns]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import alnum_words, checkpointed, written
+from lexmill.llm.common import alnum_words, checkpointed, free_name, written
 
 #: Hash of the entry that every document has, by which it meets the join once whatever its words are.
 EVERY = 0
@@ -97,5 +97,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
     """The documents, with all their columns, that hold no window of the benchmark."""
-    bad = contamination(docs, benchmark, id_col=id_col, **more).where("n_hit > 0").select(F.col("doc_id").alias("__hit"))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__hit"]), "left_anti")
+    mark = free_name(docs, "_hit")
+    bad = contamination(docs, benchmark, id_col=id_col, **more).where("n_hit > 0").select(F.col("doc_id").alias(mark))
+    return docs.join(bad, docs[id_col].eqNullSafe(bad[mark]), "left_anti")

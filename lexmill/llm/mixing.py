@@ -27,7 +27,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import space_words, written
+from lexmill.llm.common import free_name, own_columns, space_words, written
 
 #: Production weights: by domain, by language, and equal sources within a language.
 DOMAINS = {"web": ("src0",), "books": tuple(f"src{k}" for k in range(1, 7)), "news": tuple(f"src{k}" for k in range(7, 14)), "reference": tuple(f"src{k}" for k in range(14, 20))}
@@ -127,20 +127,23 @@ def plan_mix(docs: DataFrame, id_col: str, text_col: str, levels: Mapping[str, C
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: Mapping[str, Column] | None = None, weights: Mapping[str, Mapping[str | None, float]] = WEIGHTS, share: float = 0.8, max_epochs: int = 2, seed: int = 17, digits: int = 3, broadcast_leaves: int = 100_000) -> DataFrame:
-    """The chosen documents with all their columns and `mix`, a struct of the levels, epoch (from 0) and the leaf's budget.
+    """The chosen documents with all their columns and `mix` (or the first free name that starts so), a struct of the levels, epoch (from 0) and the leaf's budget.
 
     share: target tokens as a share of the tokens of all leaves that have weight. max_epochs: how often a document may be taken at most.
     """
     levels = levels or {"domain": domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
     names = list(levels)
     leaves = written(plan_mix(docs, id_col, text_col, levels, weights, share, max_epochs, seed, digits), "mix-plan")
-    found = docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.struct(*(c.alias(k) for k, c in levels.items())).alias("_mix_of"))
-    leaf = leaves.select(F.struct(*names).alias("_leaf"), "budget", "whole", "last")
+    of, mark = free_name(docs, "_of"), free_name(docs, "_leaf")
+    found = docs.select(*own_columns(docs), F.struct(*(c.alias(k) for k, c in levels.items())).alias(of))
+    leaf = leaves.select(F.struct(*names, "budget", "whole", "last").alias(mark))
     same = F.lit(True)
     for k in names:
-        same &= F.col(f"_mix_of.{k}").eqNullSafe(F.col(f"_leaf.{k}"))
+        same &= F.col(f"{of}.{k}").eqNullSafe(F.col(f"{mark}.{k}"))
     found = found.join(F.broadcast(leaf) if leaves.count() <= broadcast_leaves else leaf, same)
-    partly = F.col("last").isNotNull() & (_order(seed, F.col("whole"), docs[id_col]) <= F.col("last"))
-    times = F.col("whole") + F.coalesce(partly, F.lit(False)).cast("int")
-    found = found.withColumn("_epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1))))
-    return found.select(*(F.col(f"`{c}`") for c in docs.columns), F.struct("_mix_of.*", F.col("_epoch").alias("epoch"), "budget").alias("mix"))
+    whole, last = F.col(f"{mark}.whole"), F.col(f"{mark}.last")
+    partly = last.isNotNull() & (_order(seed, whole, F.col(f"`{id_col}`")) <= last)
+    times = whole + F.coalesce(partly, F.lit(False)).cast("int")
+    epoch = F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1)))
+    found = found.withColumn(f"{mark}_epoch", epoch)
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns), F.struct(f"{of}.*", F.col(f"{mark}_epoch").alias("epoch"), F.col(f"{mark}.budget").alias("budget")).alias(free_name(docs, "mix")))

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.chat_format import format_records, gather, loss_text, read_back
-from lexmill.llm.common import let
+from lexmill.llm.common import let, work_dir
 from lexmill.llm.decontaminate import contamination
 from lexmill.llm.license_scan import scan_licenses
 from lexmill.llm.line_dedup import dedup_lines
 from lexmill.llm.mixing import DOMAINS, WEIGHTS, mix
 from lexmill.llm.pii import KINDS, find_personal_data
 from lexmill.llm.quality_rules import fit_rules, judge
+from lexmill.llm.sharding import ShardStore
 from lexmill.llm.simhash import near_duplicates
 from lexmill.llm.substring_dedup import dedup_substrings
 
@@ -52,6 +53,14 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = ShardStore(spark, work_dir(spark, "shards"))
+    store.append(_table(spark, sf_dir, "documents"))
+    version = store.compact(at_least=2)
+    store.vacuum()
+    return store.read(version).select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -79,7 +88,8 @@ f{k} AS (SELECT *, cap * r <= l * w * (1 + 1e-12) AS whole FROM m{k}),
 b{k} AS (SELECT {path}, CASE WHEN whole THEN cap ELSE w * max(CASE WHEN NOT whole THEN l / r END) OVER ({family}) END AS budget FROM f{k}),"""
         above = f"b{k}"
     return rf"""
-WITH d AS (SELECT doc_id, {domain} AS domain, lang, source, len(coalesce(regexp_extract_all(text, '[^ 	-]+'), [])) AS tokens FROM documents),
+WITH d AS (SELECT doc_id, {domain} AS domain, lang, source, len(coalesce(regexp_extract_all(text, '[^ 	-
+]+'), [])) AS tokens FROM documents),
 leaves AS (SELECT domain, lang, source, sum(tokens) AS tokens FROM d GROUP BY ALL HAVING sum(tokens) > 0),
 root AS (SELECT least(floor(sum(tokens) * 0.8::DOUBLE + 1e-6), sum(tokens) * 2) AS budget FROM leaves),{sql}
 leaf AS (SELECT leaves.*, CAST(floor(b2.budget + 1e-6) AS BIGINT) AS budget FROM leaves JOIN b2 ON b2.domain = leaves.domain AND b2.lang IS NOT DISTINCT FROM leaves.lang AND b2.source IS NOT DISTINCT FROM leaves.source),
@@ -116,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_license_scan": op3_license_scan,
     "op4_chat_format": op4_chat_format,
+    "op5_sharding": op5_sharding,
     "op6_decontaminate": op6_decontaminate,
     "op7_mixing": op7_mixing,
     "op8_pii": op8_pii,
@@ -169,4 +180,5 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_ag
 FROM e GROUP BY conv_id
 """,
     "op7_mixing": _mix_sql(),
+    "op5_sharding": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents",
 }

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import checkpointed, shuffle_partitions
+from lexmill.llm.common import checkpointed, free_name, shuffle_partitions
 from lexmill.llm.components import connected_components
 
 SEED = 42
@@ -222,3 +222,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
     ids = grouped.join(least, "group").select("fp", "component_id")
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """The documents, with all their columns, without those that have a smaller id in their group.
+
+    Of rows that share an id one stays. Rows without an id can't be told apart and stay.
+    """
+    found = checkpointed(near_duplicates(docs, id_col, text_col, shingle))
+    mark = free_name(docs, "_gone")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(mark)).distinct()
+    kept = docs.join(gone, docs[id_col].cast("long") == gone[mark], "left_anti")
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if not repeated:
+        return kept
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
