@@ -1 +1 @@
-""""""
+"""Plans that chain the operators."""

@@ -1 +1 @@
-""""""
+"""Texts and phrases in, results out."""
