@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexmill.functions.text import let
+
 
 def parse_phrases(lines: DataFrame, col: str = "value", separator: str | None = None) -> DataFrame:
     """(phrase): one a line, without /tags; comments, blank lines and phrases under two characters go."""
@@ -16,25 +21,41 @@ def parse_phrases(lines: DataFrame, col: str = "value", separator: str | None =
     return lines.where((line != "") & ~line.startswith("#")).select(F.array_join(words, "").alias("phrase")).where(F.length("phrase") >= 2).distinct()
 
 
-def matches(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = 1_000_000) -> DataFrame:
+def matches(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = 200_000) -> DataFrame:
     """(id, start, end, phrase): every occurrence, overlapping ones too.
 
-    Rolling substrings of the phrases' lengths are joined with the phrases by equality, never each phrase with each
-    text. The phrases are broadcast if they are few enough.
+    Up to `small` phrases become one automaton that each task runs over its texts once. More phrases are joined, by
+    equality, with the rolling substrings of their lengths; phrases never meet all texts.
     """
-    phrases = phrases.select("phrase").distinct()
+    phrases = phrases.select("phrase").where(F.length("phrase") > 0).distinct()
+    if phrases.limit(small + 1).count() > small:
+        return _joined(docs, phrases, id_col, text_col)
+    words = sorted(r["phrase"] for r in phrases.collect())
+    kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("phrase", T.StringType())]))
+
+    @F.pandas_udf(kind)
+    def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for w in words:
+            automaton.add_word(w, w)
+        if words:
+            automaton.make_automaton()
+        for batch in texts:
+            yield batch.map(lambda t: [{"start": end + 1 - len(w), "end": end + 1, "phrase": w} for end, w in automaton.iter(t)] if t and words else [])
+
+    return docs.select(id_col, F.inline(find(F.col(text_col))))
+
+
+def _joined(docs: DataFrame, phrases: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lengths = sorted(r["n"] for r in phrases.select(F.length("phrase").alias("n")).distinct().collect())
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    if not lengths:
-        return docs.select(id_col, F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("phrase")).where(F.lit(False))
+    chars = F.col("_chars")
 
     def of(n: int) -> Column:
-        last = F.length(text) - n
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("start"), F.substring(text, i + 1, F.lit(n)).alias("phrase")))).otherwise(F.array().cast("array<struct<start:int,phrase:string>>"))
+        last = F.size(chars) - n
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("start"), F.array_join(F.slice(chars, i + 1, n), "").alias("phrase")))).otherwise(F.array().cast("array<struct<start:int,phrase:string>>"))
 
-    spots = docs.select(id_col, F.explode(F.concat(*(of(n) for n in lengths))).alias("m")).select(id_col, "m.start", "m.phrase")
-    side = F.broadcast(phrases) if phrases.count() <= small else phrases
-    return spots.join(side, "phrase").select(id_col, "start", (F.col("start") + F.length("phrase")).alias("end"), "phrase")
+    spots = let(docs, _chars=F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), ""), lambda c: c != "")).select(id_col, F.explode(F.concat(*(of(n) for n in lengths))).alias("m"))
+    return spots.select(id_col, "m.start", "m.phrase").join(phrases, "phrase").select(id_col, "start", (F.col("start") + F.length("phrase")).alias("end"), "phrase")
 
 
 def longest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -53,17 +74,27 @@ def merged_ranges(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return marked.withColumn("_g", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(id_col, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_g")
 
 
-def rebuilt(segments: Column, ranges: Column) -> Column:
+def rebuild(segments: list[str], ranges: list[tuple[int, int]]) -> list[str]:
     """Segments of a text cut at the ranges' edges, with each range as one segment; blank ones go.
 
-    ranges: array of (start, end) that neither overlap nor touch.
+    ranges: (start, end) in order that neither overlap nor touch. Without ranges the segments stay as they are.
     """
-    whole = F.array_join(segments, "")
-    ends = F.aggregate(segments, F.array(F.lit(0)), lambda a, s: F.concat(a, F.array(F.element_at(a, -1) + F.length(s))))
-    free = F.filter(ends, lambda x: ~F.exists(ranges, lambda r: (r["start"] < x) & (x < r["end"])))
-    cuts = F.array_sort(F.array_distinct(F.concat(free, F.transform(ranges, lambda r: r["start"]), F.transform(ranges, lambda r: r["end"]))))
-    pieces = F.transform(F.slice(cuts, F.lit(2), F.greatest(F.size(cuts) - 1, F.lit(0))), lambda x, i: F.substring(whole, cuts[i] + 1, x - cuts[i]))
-    return F.when(F.size(ranges) > 0, F.filter(pieces, lambda p: p.rlike(r"(?U)\S"))).otherwise(segments)
+    if not ranges:
+        return segments
+    whole, out, at, ends = "".join(segments), [], 0, []
+    for s in segments:
+        at += len(s)
+        ends.append(at)
+    low, k = 0, 0
+    for start, end in [*ranges, (at, at)]:
+        while k < len(ends) and ends[k] <= start:
+            out.append(whole[low : ends[k]])
+            low, k = ends[k], k + 1
+        out += [whole[low:start], whole[start:end]]
+        low = end
+        while k < len(ends) and ends[k] <= end:
+            k += 1
+    return [p for p in out if p.strip()]
 
 
 def adjust(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", segments_col: str = "segments") -> DataFrame:
@@ -71,7 +102,12 @@ def adjust(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", segments
     texts = docs.select(id_col, F.array_join(segments_col, "").alias("text"))
     ranges = merged_ranges(longest(matches(texts, phrases, id_col), id_col), id_col).groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_ranges"))
     out = docs.join(ranges, id_col, "left").withColumn("_ranges", F.coalesce("_ranges", F.array().cast("array<struct<start:int,end:int>>")))
-    return out.withColumn(segments_col, rebuilt(F.col(segments_col), F.col("_ranges"))).drop("_ranges")
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def around(segments: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([rebuild(list(s), list(zip(i, j, strict=True))) for s, i, j in zip(segments, starts, ends, strict=True)])
+
+    return out.withColumn(segments_col, around(segments_col, F.col("_ranges.start"), F.col("_ranges.end"))).drop("_ranges")
 
 
 def heaviest_path(text: str, segments: list[str], found: list[tuple[int, int]]) -> list[str]:
