@@ -86,21 +86,6 @@ def _depth(source: str) -> str:
     return f"SELECT *, coalesce(greatest(0.0, lag(similarity) OVER w + lead(similarity) OVER w - 2 * similarity), 0.0) AS depth FROM {source} WINDOW w AS (PARTITION BY doc_id ORDER BY tile)"
 
 
-PHRASES = """
-phrases AS (SELECT DISTINCT phrase FROM (SELECT string_split(STRIP, ' ')[-1] AS phrase FROM benchmark UNION ALL VALUES ('the'), ('then'), ('hen'), ('ation'), ('tion')) WHERE length(phrase) >= 2),
-sizes AS (SELECT DISTINCT length(phrase) AS n FROM phrases),
-subs AS (SELECT doc_id, s AS start, s + n AS "end", substr(text, s + 1, n) AS phrase FROM (SELECT doc_id, text, n, unnest(range(0, length(text) - n + 1)) AS s FROM documents, sizes)),
-found AS (SELECT doc_id, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", phrase FROM subs JOIN phrases USING (phrase)),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, start ORDER BY "end" DESC) AS r FROM found) WHERE r = 1),
-longest AS (SELECT doc_id, start, "end", phrase FROM (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM top) WHERE far IS NULL OR far < "end")""".replace("STRIP", strip("text"))
-
-
-def _merged(source: str) -> str:
-    return f"""SELECT doc_id, min(start) AS start, max("end") AS "end" FROM (
-  SELECT *, sum(CASE WHEN far IS NULL OR start > far THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM (
-    SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM {source})) GROUP BY doc_id, g"""
-
-
 _HALF = lambda x: f"(floor(({x}) * 100 + 0.5) / 100)"
 
 
@@ -180,7 +165,4 @@ SELECT doc_id, CASE WHEN k IN (1, 2, 5) THEN 'modern' WHEN k = 7 THEN 'mixed' EL
     "key_terms_top10": r"""WITH t AS (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+(?:''[a-z]+)?|\pN+(?:\.\pN+)?|[^\s\x0b\pL\pN\pM_]') AS w FROM documents)),
 c AS (SELECT doc_id, term, count(*) AS n, min(i) AS first FROM t WHERE length(term) >= 2 GROUP BY ALL)
 SELECT doc_id, CAST(r AS INTEGER) AS rank, term, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS r FROM c) WHERE r <= 10""",
-    "dict_match_all": f'WITH {PHRASES} SELECT doc_id, start, "end", phrase FROM found',
-    "dict_match_longest": f'WITH {PHRASES} SELECT doc_id, start, "end", phrase FROM longest',
-    "interval_merge": f'WITH {PHRASES} {_merged("found")}',
 }

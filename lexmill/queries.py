@@ -19,7 +19,10 @@ LATIN_MOODS = {"idiot": "angry", "the ": "calm", "une ": "happy", "der ": "tense
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    # a few small files would leave most cores idle; many files are read where they are
+    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,10 +297,10 @@ def key_terms_top10(spark, sf_dir):
 
 
 def _phrases(spark, sf_dir):
-    """The last words of benchmark items, and some that overlap."""
+    """A dictionary: the last words of benchmark items if of three to six characters, and some that overlap."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.element_at(F.split(strip(F.col("text")), " "), -1).alias("phrase"))
     more = spark.createDataFrame([(p,) for p in ("the", "then", "hen", "ation", "tion")], "phrase string")
-    return items.unionByName(more).where(F.length("phrase") >= 2).distinct()
+    return items.unionByName(more).where(F.length("phrase").between(3, 6)).distinct()
 
 
 def dict_match_all(spark, sf_dir):
