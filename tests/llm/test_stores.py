@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -27,7 +28,7 @@ def stats(t):
 
 def test_statistics_and_rules(spark, make):
     good, bad = PASSAGE + " tail", " ".join(w + "###" for w in PASSAGE.split())
-    rows = [*ODD, (50, "a\nb\na\n\n \na"), *((100 + k, f"{good} {k}") for k in range(40)), *((200 + k, f"{bad} {k}") for k in range(40))]
+    rows = [*ODD, (50, "a\nb\na\n\n \na"), *((100 + k, f"{good} {k}") for k in range(40)), *((200 + k, f"{bad} tail {k}") for k in range(40))]
     labels = spark.createDataFrame([(100 + k, 1) for k in range(40)] + [(200 + k, 0) for k in range(40)] + [(None, 0), (1, None)], "doc_id long, quality int")
     docs = make(rows).withColumn("_q", F.lit("own"))
     rules = fit_rules(docs.drop("_q"), labels)
@@ -46,7 +47,8 @@ def test_statistics_and_rules(spark, make):
 
 def test_cover_is_ordered_and_precise():
     row = lambda **over: {f: 0.0 for f in FEATURES} | over
-    rows = [(row(mean_word=float(k % 9), repeat_share=k / 300), k % 9 > 6 or k > 280) for k in range(300)]
+    rows = [(row(mean_word=float(k % 9), repeat_share=k / 900), k % 9 > 6 or k > 780) for k in range(900)]
+    random.Random(2).shuffle(rows)  # as in use, where rows come in the order of their hash
     found = cover(rows)
     wrong = [r for r, bad in rows if (found.rule_of(r) is not None) != bad]
     assert len(found.rules) >= 2 and len(wrong) <= 5
