@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import checkpointed, free_name, shuffle_partitions
+from lexmill.llm.common import checkpointed, free_name, mix, shuffle_partitions
 from lexmill.llm.components import connected_components
 
 SEED = 42
@@ -167,14 +167,20 @@ def _link_sorted(groups: _Groups, entry: np.ndarray, key: np.ndarray, fps: np.nd
         step += 1
 
 
-def link_entries(table_no: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
-    """Links between fingerprints of one task: at most one for each entry, and every linked pair stays connected."""
-    distinct, node = np.unique(fps, return_inverse=True)
+def link_entries(table_no: np.ndarray, fps: np.ndarray, nodes: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between the entries of one task: at most one less than nodes, and every linked pair stays connected.
+
+    Nodes are the fingerprints themselves if none are given. With several fingerprints a node, the combinations of each
+    are numbered on, and only entries of one combination of one fingerprint meet.
+    """
+    distinct, node = np.unique(fps if nodes is None else nodes, return_inverse=True)
     groups = _Groups(len(distinct))
-    for t, (first, own, rest) in enumerate(COMBINATIONS):
-        at = np.flatnonzero(table_no == t)
+    by_table = np.argsort(table_no, kind="stable")
+    cuts = np.flatnonzero(np.diff(table_no[by_table])) + 1
+    for at in np.split(by_table, cuts):
         if len(at) < 2:
             continue
+        first, own, rest = COMBINATIONS[int(table_no[at[0]]) % len(COMBINATIONS)]
         key = _keys(fps[at], own)
         order = np.argsort(key, kind="stable")
         at, key = at[order], key[order]
@@ -224,12 +230,68 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+def several_fingerprints_of(texts: list[bytes | None], size: int, n: int, part: int = 4096) -> np.ndarray:
+    """n independent fingerprints a text, from the shingles' hashes scrambled n ways."""
+    salts = np.array([0x9E3779B97F4A7C15 * (k + 1) % 2**64 for k in range(n)], np.uint64)
+    out = np.zeros((len(texts), n), np.uint64)
+    for i, text in enumerate(texts):
+        hashes = np.array(shingle_hashes(text, size), np.uint64)
+        if len(hashes):
+            counts = np.zeros(64 * n, np.int64)
+            for j in range(0, len(hashes), part):
+                scrambled = mix(hashes[j : j + part, None] ^ salts).astype(">u8").view(np.uint8)
+                counts += np.add.reduce(np.unpackbits(scrambled, axis=1), axis=0, dtype=np.uint32)
+            out[i] = np.packbits(2 * counts > len(hashes)).view(">u8")
+    return out
+
+
+def near_duplicates_wide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, fingerprints: int = 8) -> DataFrame:
+    """Per document: doc_id and component_id over links of three bits or fewer in any of several independent fingerprints.
+
+    One fingerprint of 64 bits finds texts that share nearly all shingles. At a shingle similarity of 0.8 to 1 two texts
+    differ in some 0 to 10 bits, so each further fingerprint is another chance of a close one, while texts well below
+    0.8 stay far apart in all. Candidates stay as selective as with one fingerprint; cost grows in proportion to their number.
+    """
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = several_fingerprints_of(batch.column("text").cast(pa.large_binary()).to_pylist(), shingle, fingerprints)
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "fps": pa.array(list(fps.view(np.int64)), pa.list_(pa.int64()))})
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fps = np.array(batch.column("fps").to_pylist(), np.int64).view(np.uint64)
+            for k in range(fingerprints):
+                for t, (_, own, _) in enumerate(COMBINATIONS):
+                    key = (np.uint64(k * len(COMBINATIONS) + t) << np.uint64(32)) | _keys(fps[:, k], own)
+                    yield pa.record_batch({"key": pa.array(key.view(np.int64)), "fp": pa.array(fps[:, k].copy().view(np.int64)), "node": batch.column("node")})
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [tuple(b.column(c).to_numpy() for c in ("key", "fp", "node")) for b in batches if b.num_rows]
+        if got:
+            key, fps, nodes = (np.concatenate(x) for x in zip(*got, strict=True))
+            found = np.array(link_entries(key >> 32, fps.view(np.uint64), nodes), np.int64).reshape(-1, 2)
+            yield pa.record_batch({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+
+    n = shuffle_partitions(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = checkpointed(rows.mapInArrow(prints, "doc_id long, fps array<long>").withColumn("node", F.xxhash64("fps")))
+    nodes = found.groupBy("node").agg(F.first("fps").alias("fps"), F.min("doc_id").alias("least"))
+    edges = nodes.select("node", "fps").mapInArrow(entries, "key long, fp long, node long").repartition(n, "key").mapInArrow(links, "a long, b long")
+    grouped = nodes.select("node", "least").join(connected_components(edges).withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+    grouped = grouped.select("node", "least", F.coalesce("component", "node").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
+    return found.select("doc_id", "node").join(grouped.join(least, "group").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, fingerprints: int = 8) -> DataFrame:
     """The documents, with all their columns, without those that have a smaller id in their group.
 
     Of rows that share an id one stays. Rows without an id can't be told apart and stay.
     """
-    found = checkpointed(near_duplicates(docs, id_col, text_col, shingle))
+    found = checkpointed(near_duplicates_wide(docs, id_col, text_col, shingle, fingerprints))
     mark = free_name(docs, "_gone")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(mark)).distinct()
     kept = docs.join(gone, docs[id_col].cast("long") == gone[mark], "left_anti")
