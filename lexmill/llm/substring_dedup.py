@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import NULL_ID, WordHashes, column_bytes, mix, shuffle_partitions
+from lexmill.llm.dealing import PACKED, answers, bits, bucket_of, by_shard, count, head, packed, slices, to_bits
 
-PACKED = "shard int, bucket int, payload binary"
 REMOVED = "doc_id long, n_words long, n_removed long, spans array<struct<start: int, stop: int>>, kept_text string"
 P1, P2 = np.uint64(0x9E3779B97F4A7C55), np.uint64(0xD6E8FEB86659FD93)
 _HASHES = WordHashes()
@@ -104,19 +104,6 @@ class Bucket:
         return a[new], b[new], at[new], at, np.cumsum(new) - 1
 
 
-def _slices(values: np.ndarray, shards: int, bits: int):
-    """(shard, from, to) of the ranges into which sorted values fall."""
-    edges = [min((s << bits) // shards, (1 << bits) - 1) for s in range(1, shards)]
-    cuts = np.searchsorted(values, np.array(edges, np.uint64))
-    cuts = [0, *cuts.tolist(), len(values)]
-    return [(s, cuts[s], cuts[s + 1]) for s in range(shards) if cuts[s] < cuts[s + 1]]
-
-
-def _packed(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    shard, bucket, payload = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.table({"shard": pa.array(shard, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "payload": pa.array(payload, pa.binary())})
-
-
 def _high_low(values: np.ndarray, low_bits: int) -> bytes:
     """Sorted values, the slow high halves apart from the low ones, so that compression takes the former away."""
     return (values >> np.uint64(low_bits)).astype(np.uint32).tobytes() + (values & np.uint64((1 << low_bits) - 1)).astype(np.uint32).tobytes()
@@ -127,22 +114,14 @@ def _from_high_low(raw: bytes, n: int, low_bits: int) -> np.ndarray:
     return (high.astype(np.uint64) << np.uint64(low_bits)) | low
 
 
-def _count(raw: bytes) -> int:
-    return int.from_bytes(raw[:8], "little")
-
-
-def _bits(raw: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
-
-
 def _probe(block: int, window: int, shards: int):
     def send(table: pa.Table) -> pa.Table:
         own = table.column("bucket")[0].as_py()
         fps, aligned, twice, _, _ = Bucket(table, block, window).fingerprints()
         rows = []
-        for s, i, j in _slices(fps, shards, 48):
-            rows.append((s, own, (j - i).to_bytes(8, "little") + _high_low(fps[i:j], 32) + np.packbits(aligned[i:j]).tobytes() + np.packbits(twice[i:j]).tobytes()))
-        return _packed(rows)
+        for s, i, j in slices(fps, shards, 48):
+            rows.append((s, own, head(j - i) + _high_low(fps[i:j], 32) + to_bits(aligned[i:j]) + to_bits(twice[i:j])))
+        return packed(rows)
 
     return send
 
@@ -152,12 +131,12 @@ def _mark(table: pa.Table) -> pa.Table:
     raws, counts = table.column("payload").to_pylist(), []
     fps, aligned, twice = [], [], []
     for raw in raws:
-        n = _count(raw)
+        n = count(raw)
         counts.append(n)
         fps.append(_from_high_low(raw[8 : 8 + 8 * n], n, 32))
         k = (n + 7) // 8
-        aligned.append(_bits(raw[8 + 8 * n : 8 + 8 * n + k], n))
-        twice.append(_bits(raw[8 + 8 * n + k :], n))
+        aligned.append(bits(raw[8 + 8 * n : 8 + 8 * n + k], n))
+        twice.append(bits(raw[8 + 8 * n + k :], n))
     fps = np.concatenate(fps)
     order = np.argsort(fps, kind="stable")
     ordered = fps[order]
@@ -168,30 +147,25 @@ def _mark(table: pa.Table) -> pa.Table:
     again = np.logical_or.reduceat(np.concatenate(twice)[order], starts) | (np.diff(np.append(starts, len(fps))) > 1)
     marks = np.empty(len(fps), bool)
     marks[order] = (indexed & again)[np.cumsum(new) - 1]
-    return _answers(table, counts, marks)
-
-
-def _answers(table: pa.Table, counts: list[int], flags: np.ndarray) -> pa.Table:
-    shard, cuts = table.column("shard")[0].as_py(), np.cumsum([0, *counts])
-    return _packed([(shard, own, np.packbits(flags[cuts[i] : cuts[i + 1]]).tobytes()) for i, own in enumerate(table.column("bucket").to_pylist())])
+    return answers(table, counts, marks)
 
 
-def _gather(answers: pa.Table, slices) -> np.ndarray:
+def _gather(back: pa.Table, parts) -> np.ndarray:
     """The bits that shards gave back for this bucket, in the order in which its values were sent."""
-    by = dict(zip(answers.column("shard").to_pylist(), answers.column("payload").to_pylist(), strict=True))
-    return np.concatenate([*(_bits(by[s], j - i) for s, i, j in slices), np.empty(0, bool)])
+    by = by_shard(back)
+    return np.concatenate([*(bits(by[s], j - i) for s, i, j in parts), np.empty(0, bool)])
 
 
 def _compare(block: int, window: int, shards: int):
-    def send(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def send(docs: pa.Table, back: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return _packed([])
+            return packed([])
         own, bucket = docs.column("bucket")[0].as_py(), Bucket(docs, block, window)
-        marks = _gather(answers, _slices(bucket.fingerprints()[0], shards, 48))
+        marks = _gather(back, slices(bucket.fingerprints()[0], shards, 48))
         a, b, first, _, _ = bucket.windows(marks)
         ids = np.array([NULL_ID if i is None else i for i in bucket.ids], np.int64)
         ids = np.repeat(ids, bucket.lengths)[first]
-        return _packed([(s, own, (j - i).to_bytes(8, "little") + a[i:j].tobytes() + b[i:j].tobytes() + ids[i:j].tobytes()) for s, i, j in _slices(a, shards, 64)])
+        return packed([(s, own, head(j - i) + a[i:j].tobytes() + b[i:j].tobytes() + ids[i:j].tobytes()) for s, i, j in slices(a, shards, 64)])
 
     return send
 
@@ -200,7 +174,7 @@ def _earliest(table: pa.Table) -> pa.Table:
     """Shard: whether the sender of each window holds its earliest occurrence."""
     a, b, ids, counts = [], [], [], []
     for raw in table.column("payload").to_pylist():
-        n = _count(raw)
+        n = count(raw)
         counts.append(n)
         a.append(np.frombuffer(raw, np.uint64, n, 8))
         b.append(np.frombuffer(raw, np.uint32, n, 8 + 8 * n))
@@ -211,19 +185,19 @@ def _earliest(table: pa.Table) -> pa.Table:
     first[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
     flags = np.empty(len(a), bool)
     flags[order] = first
-    return _answers(table, counts, flags)
+    return answers(table, counts, flags)
 
 
 def _remove(block: int, window: int, shards: int):
-    def cut(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def cut(docs: pa.Table, back: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.Table.from_pylist([], schema=RESULT)
         bucket = Bucket(docs, block, window)
-        step = answers.column("step").to_pylist()
-        marks, firsts = (answers.filter(pa.array([x == k for x in step], pa.bool_())) for k in (1, 2))
-        marks = _gather(marks, _slices(bucket.fingerprints()[0], shards, 48))
+        step = back.column("step").to_pylist()
+        marks, firsts = (back.filter(pa.array([x == k for x in step], pa.bool_())) for k in (1, 2))
+        marks = _gather(marks, slices(bucket.fingerprints()[0], shards, 48))
         a, _, _, at, group = bucket.windows(marks)
-        keeps = _gather(firsts, _slices(a, shards, 64))
+        keeps = _gather(firsts, slices(a, shards, 64))
         repeat = ~keeps[group]
         repeat[1:] |= group[1:] == group[:-1]  # a later occurrence in this bucket
         cover = np.zeros(bucket.n + 1, np.int64)
@@ -260,10 +234,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         raise ValueError("window must be at least 2 * block - 1")
     n = buckets or shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(n, "bucket")
+    dealt = rows.select("*", bucket_of("doc_id", n)).repartition(n, "bucket")
     probes = dealt.groupBy("bucket").applyInArrow(_probe(block, window, n), PACKED)
     marks = probes.repartition(n, "shard").groupBy("shard").applyInArrow(_mark, PACKED)
     sent = dealt.groupBy("bucket").cogroup(marks.repartition(n, "bucket").groupBy("bucket")).applyInArrow(_compare(block, window, n), PACKED)
     firsts = sent.repartition(n, "shard").groupBy("shard").applyInArrow(_earliest, PACKED)
-    answers = marks.withColumn("step", F.lit(1)).unionByName(firsts.withColumn("step", F.lit(2))).repartition(n, "bucket")
-    return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_remove(block, window, n), REMOVED)
+    replies = marks.withColumn("step", F.lit(1)).unionByName(firsts.withColumn("step", F.lit(2))).repartition(n, "bucket")
+    return dealt.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(_remove(block, window, n), REMOVED)

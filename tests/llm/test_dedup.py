@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.components import connected_components
 from lexmill.llm.line_dedup import LineIndex, PerfectHash, dedup_lines
-from lexmill.llm.simhash import COMBINATIONS, _keys, chain_fits, drop_near_duplicates, link_entries, near_duplicates
+from lexmill.llm.simhash import COMBINATIONS, _keys, chain_fits, drop_near_duplicates, link_entries, near_duplicates, near_duplicates_wide, several_fingerprints_of
 from lexmill.llm.substring_dedup import dedup_substrings
 from tests.llm.conftest import ODD, PASSAGE
 
@@ -103,6 +103,20 @@ def test_simhash(make):
     assert near_duplicates(make([])).collect() == []
 
 
+def test_several_fingerprints(make):
+    rows = [*ODD[:6], ODD[7], *((40 + k, " ".join(WORDS_OF(k))) for k in range(30))]
+    fps = several_fingerprints_of([None if t is None else t.encode() for _, t in rows], 5, 4)
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if (np.bitwise_count(fps[a] ^ fps[b]) <= 3).any() and group[a] != group[b]:
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    expected = {i: min(rows[k][0] for k in range(len(rows)) if group[k] == group[n]) for n, (i, _) in enumerate(rows)}
+    assert {r.doc_id: r.component_id for r in near_duplicates_wide(make(rows), fingerprints=4).collect()} == expected
+    assert len(set(expected.values())) < len(rows) and near_duplicates_wide(make([])).collect() == []
+
+
 def WORDS_OF(k):
     rng = random.Random(k // 3)
     base = [rng.choice("qwertyuiop") + str(rng.randint(0, 50)) for _ in range(80)]
