@@ -47,6 +47,7 @@ zh0 AS (SELECT doc_id, string_split({_ZH_MARK}, chr(1)) AS ps FROM documents),
 zh1 AS (SELECT doc_id, unnest(range(0, len(ps))) AS a, {strip("unnest(ps)")} AS s FROM zh0),
 zh AS ({_long("zh1", r"([,;])[ \t\n\r]*")})"""
 
+_NOT_COUNTED = r"""'[\s\x0b.,!?;:"''()\[\]{}，。！？；：（）【】]+'"""
 LANG = r"""
 lc AS (SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]+', '', 'g')) AS ascii, length(regexp_replace(text, '[\s\x0b.,!?;:"''()\[\]{}，。！？；：（）【】]+', '', 'g')) AS total FROM documents),
 lang AS (SELECT doc_id, CASE WHEN total = 0 THEN 'zh' WHEN ascii / total > 0.9 THEN 'en' ELSE 'mixed' END AS language, CASE WHEN total = 0 OR ascii = 0 THEN 0.0 WHEN ascii / total > 0.9 THEN 1.0 ELSE 0.5 END AS confidence FROM lc)"""
@@ -113,11 +114,22 @@ _TIER = "CASE WHEN sum(length(text)) / count(*) > 1 AND sum(length(text)) / coun
 _q = lambda text: text.replace("'", "''")
 _ASS = "\n".join([exports.ASS_HEADER, exports.ASS_STYLE, "", exports.ASS_EVENTS, exports.ASS_FORMAT])
 
+#: Scenes of a whole result: separator lines go before sentences are packed.
+_KEPT = SCENES.replace("FROM sent),", r"FROM sent WHERE NOT regexp_matches(text, '^[\s\-—*=~•]{2,}$')),", 1)
+_PARAGRAPHS = f"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip("x")}), lambda x: x <> '') AS ps FROM documents),
+q AS (SELECT doc_id, CAST(unnest(range(0, len(ps))) AS INTEGER) AS paragraph, unnest(ps) AS text FROM p),
+c AS (SELECT *, length(regexp_replace(text, '[^A-Za-z]+', '', 'g')) AS ascii, length(regexp_replace(text, {_NOT_COUNTED}, '', 'g')) AS total FROM q)
+SELECT doc_id, paragraph, text, CASE WHEN total = 0 THEN 'zh' WHEN ascii / total > 0.9 THEN 'en' ELSE 'mixed' END AS language FROM c"""
+
+#: The same sentences over turns of conversations: the documents of the SQL are turns.
+_CONVERSATIONS = "WITH documents AS (SELECT conv_id * 100000 + turn AS doc_id, conv_id, role, text FROM conversations)," + SENT + " SELECT conv_id, role, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_sentences FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM sent GROUP BY doc_id) USING (doc_id) GROUP BY conv_id, role"
+
 ORACLES: dict[str, str] = {
     "lang_detect": f"WITH {LANG} SELECT doc_id, language, CAST(confidence AS DOUBLE) AS confidence FROM lang",
     "lang_summary": f"WITH {LANG} SELECT language, count(*) AS n_docs FROM lang GROUP BY language",
     "lang_route": f"WITH {LANG} SELECT doc_id, CASE WHEN language = 'en' THEN 'en' ELSE 'zh' END AS chain FROM lang",
     "blank_filter": r"SELECT doc_id, text IS NULL OR NOT regexp_matches(text, '[^\s]') AS blank FROM documents",
+    "paragraphs": _PARAGRAPHS,
     "separator_filter": rf"SELECT doc_id, count(*) AS n_lines FROM (SELECT doc_id, {strip('unnest(string_split(text, chr(10)))')} AS l FROM documents) WHERE l <> '' AND NOT regexp_matches(l, '^[\s\-—*=~•]{{2,}}$') GROUP BY doc_id",
     "en_sentences": f"WITH {EN} SELECT doc_id, index, text FROM en",
     "en_tokens": r"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+(?:''[a-z]+)?|\pN+(?:\.\pN+)?|[^\s\x0b\pL\pN\pM_]') AS t FROM documents)",
@@ -151,6 +163,9 @@ FROM seen JOIN near ON near.doc_id = seen.doc_id AND near.index = seen.tile WHER
     "subtitle_totals": "SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) AS BIGINT) AS n_subtitles, 60.0::DOUBLE AS total_duration FROM documents",
     "storyboard": f"{_WITH}{SCENES} SELECT doc_id, count(*) OVER (PARTITION BY doc_id) AS total_scenes, segment_id AS scene_id, text, text AS image_hint FROM scenes",
     "prompt_requests": f"WITH {SENT} SELECT doc_id, index, text AS prompt, {_PLATFORM} AS platform, CASE k WHEN 'too_short' THEN 8 WHEN 'too_long' THEN 3 ELSE 5 END AS creative_level, CASE k WHEN 'too_short' THEN 700 WHEN 'too_long' THEN 200 ELSE 500 END AS max_length, 1 AS num_candidates FROM (SELECT *, {_STATUS} AS k FROM sent)",
+    "result_json": f"{_WITH}{_KEPT} SELECT lang.doc_id, lang.language, coalesce(n, 0) AS total_scenes, coalesce(m, 0) AS sentence_count FROM lang LEFT JOIN (SELECT doc_id, count(*) AS n FROM scenes GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS m FROM clean GROUP BY doc_id) USING (doc_id)",
+    "service_response": f"{_WITH}{_KEPT} SELECT lang.doc_id, lang.language, coalesce(m, 0) AS n_sentences, coalesce(n, 0) AS n_scenes FROM lang LEFT JOIN (SELECT doc_id, count(*) AS n FROM scenes GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS m FROM clean GROUP BY doc_id) USING (doc_id)",
+    "conversation_sentences": _CONVERSATIONS,
     "era_classify": r"""WITH h AS (SELECT doc_id, list_filter(['tion', 'ingsh'], lambda k: contains(text, k)) AS m, list_filter(['éen', 'ungsch'], lambda k: contains(text, k)) AS a,
   len(list_filter(['the ', 'and '], lambda k: contains(text, k))) AS mc, len(list_filter(['der ', 'le '], lambda k: contains(text, k))) AS ac FROM (SELECT doc_id, trim(text, ' ' || chr(10) || chr(9)) AS text FROM documents)),
 s AS (SELECT *, 3 * len(m) + mc AS ms, 3 * len(a) + ac AS s FROM h),
