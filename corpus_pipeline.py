@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that SimHash over five-word shingles links, the document of least id stays."""
+    """Of each group that links of 0.8 or more shared five-word shingles connect, the document of least id stays."""
     return drop_near_duplicates(docs)
 
 

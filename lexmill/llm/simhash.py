@@ -34,6 +34,10 @@ from lexmill.llm.components import connected_components
 SEED = 42
 #: Entries above which a combination's group is split by its other bytes.
 DENSE = 2048
+#: Keys of least hashes by text, and the least hashes in each.
+BANDS, BAND_ROWS = 24, 4
+#: Texts of a block that meet in one task, and the most tiles that a larger block is dealt into.
+TILE, MOST_TILES = 512, 16
 
 
 def shingle_hashes(text: bytes | None, size: int) -> list[int]:
@@ -230,27 +234,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def _salts(n: int) -> np.ndarray:
+    return np.array([0x9E3779B97F4A7C15 * (k + 1) % 2**64 for k in range(n)], np.uint64)
+
+
+def _several(hashes: np.ndarray, salts: np.ndarray, part: int = 4096) -> np.ndarray:
+    counts = np.zeros(64 * len(salts), np.int64)
+    for j in range(0, len(hashes), part):
+        scrambled = mix(hashes[j : j + part, None] ^ salts).astype(">u8").view(np.uint8)
+        counts += np.add.reduce(np.unpackbits(scrambled, axis=1), axis=0, dtype=np.uint32)
+    return np.packbits(2 * counts > len(hashes)).view(">u8")
+
+
 def several_fingerprints_of(texts: list[bytes | None], size: int, n: int, part: int = 4096) -> np.ndarray:
     """n independent fingerprints a text, from the shingles' hashes scrambled n ways."""
-    salts = np.array([0x9E3779B97F4A7C15 * (k + 1) % 2**64 for k in range(n)], np.uint64)
-    out = np.zeros((len(texts), n), np.uint64)
+    salts, out = _salts(n), np.zeros((len(texts), n), np.uint64)
     for i, text in enumerate(texts):
         hashes = np.array(shingle_hashes(text, size), np.uint64)
         if len(hashes):
-            counts = np.zeros(64 * n, np.int64)
-            for j in range(0, len(hashes), part):
-                scrambled = mix(hashes[j : j + part, None] ^ salts).astype(">u8").view(np.uint8)
-                counts += np.add.reduce(np.unpackbits(scrambled, axis=1), axis=0, dtype=np.uint32)
-            out[i] = np.packbits(2 * counts > len(hashes)).view(">u8")
+            out[i] = _several(hashes, salts, part)
     return out
 
 
+def _wide_entries(fps: np.ndarray, nodes: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Entries of every combination of each of several fingerprints (rows: nodes)."""
+    for k in range(fps.shape[1]):
+        for t, (_, own, _) in enumerate(COMBINATIONS):
+            key = (np.uint64(k * len(COMBINATIONS) + t) << np.uint64(32)) | _keys(fps[:, k], own)
+            yield pa.record_batch({"key": pa.array(key.view(np.int64)), "fp": pa.array(fps[:, k].copy().view(np.int64)), "node": nodes})
+
+
 def near_duplicates_wide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, fingerprints: int = 8) -> DataFrame:
     """Per document: doc_id and component_id over links of three bits or fewer in any of several independent fingerprints.
 
-    One fingerprint of 64 bits finds texts that share nearly all shingles. At a shingle similarity of 0.8 to 1 two texts
-    differ in some 0 to 10 bits, so each further fingerprint is another chance of a close one, while texts well below
-    0.8 stay far apart in all. Candidates stay as selective as with one fingerprint; cost grows in proportion to their number.
+    One fingerprint of 64 bits finds texts that share nearly all shingles. Each further fingerprint is another chance of
+    a close one. At a shingle similarity of 0.8 two texts differ in some ten bits, so this alone misses most such pairs;
+    `near_copies` doesn't.
     """
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,13 +279,8 @@ def near_duplicates_wide(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            fps = np.array(batch.column("fps").to_pylist(), np.int64).view(np.uint64)
-            for k in range(fingerprints):
-                for t, (_, own, _) in enumerate(COMBINATIONS):
-                    key = (np.uint64(k * len(COMBINATIONS) + t) << np.uint64(32)) | _keys(fps[:, k], own)
-                    yield pa.record_batch({"key": pa.array(key.view(np.int64)), "fp": pa.array(fps[:, k].copy().view(np.int64)), "node": batch.column("node")})
+            if batch.num_rows:
+                yield from _wide_entries(np.array(batch.column("fps").to_pylist(), np.int64).view(np.uint64), batch.column("node"))
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [tuple(b.column(c).to_numpy() for c in ("key", "fp", "node")) for b in batches if b.num_rows]
@@ -286,12 +300,148 @@ def near_duplicates_wide(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return found.select("doc_id", "node").join(grouped.join(least, "group").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    """The distinct shingles' hashes, sorted."""
+    return np.unique(np.array(shingle_hashes(text, size), np.uint64))
+
+
+def _factors() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    return rng.integers(0, 2**64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1), rng.integers(0, 2**64, BANDS * BAND_ROWS, np.uint64)
+
+
+def band_keys(hashes: np.ndarray, factors: tuple[np.ndarray, np.ndarray], part: int = 4096) -> np.ndarray:
+    """BANDS keys of a set that isn't empty: each of the least values of BAND_ROWS independent orders of its shingles."""
+    low = np.full(len(factors[0]), 2**64 - 1, np.uint64)
+    for j in range(0, len(hashes), part):
+        low = np.minimum(low, (hashes[j : j + part, None] * factors[0] + factors[1]).min(axis=0))
+    rows, out = low.reshape(BANDS, BAND_ROWS), np.zeros(BANDS, np.uint64)
+    for r in range(BAND_ROWS):
+        out = mix(out ^ rows[:, r]) + np.uint64(1)
+    return out
+
+
+def similar_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links (positions) that connect all sets whose similarity is `least` or more, each link of such a pair.
+
+    Pairs that links connect already aren't compared again; sets of very different sizes can't be similar.
+    """
+    order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
+    sizes = np.array([len(sets[k]) for k in order], np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    words, ids = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    groups, held = _Groups(len(order)), np.zeros(len(words), bool)
+    for k in range(len(order)):
+        # larger sets up to the size that the similarity allows
+        end = int(np.searchsorted(sizes, sizes[k] / least + 1e-9, side="right"))
+        others = np.arange(k + 1, end)
+        if len(others):
+            others = others[groups.roots(others) != groups.roots(np.array([k]))]
+        if not len(others):
+            continue
+        own = ids[starts[k] : starts[k + 1]]
+        held[own] = True
+        if len(others) == end - k - 1:
+            common = np.add.reduceat(held[ids[starts[k + 1] : starts[end]]], starts[k + 1 : end] - starts[k + 1], dtype=np.int64)
+        else:
+            common = np.array([np.count_nonzero(held[ids[starts[x] : starts[x + 1]]]) for x in others.tolist()])
+        held[own] = False
+        near = others[common >= least * (sizes[k] + sizes[others] - common) - 1e-9]
+        groups.join(np.full(len(near), k), near)
+    return [(order[a], order[b]) for a, b in groups.links]
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, fingerprints: int = 8, similarity: float = 0.8) -> DataFrame:
+    """Per document: doc_id, text_hash (long) and component_id, the least id reachable over pairs of texts whose sets of
+    shingles have a Jaccard similarity of `similarity` or more.
+
+    Candidates come from the close fingerprints of `near_duplicates_wide` and from keys of least hashes: two sets of
+    similarity s share one of the 24 keys but for a chance of (1 - s^4)^24, 3 in a million at 0.8. Candidates only make
+    blocks; the sets of a block meet and all their pairs are compared, so a link is always a true one. A large block
+    is dealt into tiles and every two tiles meet in a task of their own, so that none is left out or lands in one task.
+    """
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts, factors = _salts(fingerprints), _factors()
+        for batch in batches:
+            fps, bands, nodes = [], [], []
+            for text in batch.column("text").cast(pa.large_binary()).to_pylist():
+                hashes = np.array(shingle_hashes(text, shingle), np.uint64)
+                own = np.unique(hashes)
+                nodes.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+                fps.append(_several(hashes, salts).astype(np.uint64).view(np.int64) if len(own) else np.empty(0, np.int64))
+                bands.append(band_keys(own, factors).view(np.int64) if len(own) else np.empty(0, np.int64))
+            yield pa.record_batch({
+                "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)),
+                "fps": pa.array(fps, pa.list_(pa.int64())), "bands": pa.array(bands, pa.list_(pa.int64()))})
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if fingerprints:
+                yield from _wide_entries(np.array(batch.column("fps").to_pylist(), np.int64).view(np.uint64), batch.column("node"))
+            keys = np.array(batch.column("bands").to_pylist(), np.int64).view(np.uint64)
+            for k in range(BANDS):
+                key = (np.uint64((fingerprints + k) * len(COMBINATIONS)) << np.uint64(32)) | (keys[:, k] >> np.uint64(32))
+                yield pa.record_batch({"key": pa.array(key.view(np.int64)), "fp": pa.array(keys[:, k].copy().view(np.int64)), "node": batch.column("node")})
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [tuple(b.column(c).to_numpy() for c in ("key", "fp", "node")) for b in batches if b.num_rows]
+        if got:
+            key, fps, nodes = (np.concatenate(x) for x in zip(*got, strict=True))
+            order = np.lexsort((fps, key))
+            key, fps, nodes = key[order], fps[order], nodes[order]
+            # equal ones are linked in a row; only one of them meets the close ones
+            equal = np.concatenate([[False], (key[1:] == key[:-1]) & (fps[1:] == fps[:-1])])
+            at = np.flatnonzero(equal)
+            alone = ~equal & (key >> 32 < fingerprints * len(COMBINATIONS))
+            found = np.array(link_entries(key[alone] >> 32, fps[alone].view(np.uint64), nodes[alone]), np.int64).reshape(-1, 2)
+            yield pa.record_batch({"a": pa.array(np.concatenate([nodes[at - 1], found[:, 0]]), pa.int64()), "b": pa.array(np.concatenate([nodes[at], found[:, 1]]), pa.int64())})
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_set(t, shingle).tobytes() for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            yield pa.record_batch({"node": batch.column("node"), "block": batch.column("block"), "tiles": batch.column("tiles"), "held": pa.array(made, pa.large_binary())})
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+        for b in batches:
+            for block, pair, node, held in zip(*(b.column(c).to_pylist() for c in ("block", "pair", "node", "held")), strict=True):
+                met.setdefault((block, pair), []).append((node, np.frombuffer(held, np.uint64)))
+        for own in met.values():
+            found = similar_links([x for _, x in own], similarity)
+            yield pa.record_batch({"a": pa.array([own[a][0] for a, _ in found], pa.int64()), "b": pa.array([own[b][0] for _, b in found], pa.int64())})
+
+    n = shuffle_partitions(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    found = checkpointed(rows.mapInArrow(prints, "doc_id long, text_hash long, node long, fps array<long>, bands array<long>"))
+    nodes = found.groupBy("node").agg(F.first("fps").alias("fps"), F.first("bands").alias("bands")).where(F.size("bands") > 0)
+    edges = nodes.mapInArrow(entries, "key long, fp long, node long").repartition(n, "key").mapInArrow(links, "a long, b long")
+    blocks = checkpointed(connected_components(edges).withColumnRenamed("component", "block"))
+    tiles = F.least(F.lit(MOST_TILES), F.ceil(F.col("n") / TILE)).cast("int")
+    sized = blocks.join(blocks.groupBy("block").agg(F.count("*").alias("n")), "block").select("node", "block", tiles.alias("tiles"))
+    # one row a node brings the text whose set is compared
+    one = found.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).join(sized, "node")
+    one = one.select("node", "block", "tiles", F.col("r.doc_id").alias("_id"), F.col("r.text_hash").alias("_hash"))
+    texts = rows.join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("node", "block", "tiles", "text")
+    tile = F.pmod("node", "tiles").cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda u: F.least(tile, u) * MOST_TILES + F.greatest(tile, u))
+    met = texts.mapInArrow(sets, "node long, block long, tiles int, held binary").select("node", "block", "held", F.explode(pairs).alias("pair"))
+    true = met.repartition(n, "block", "pair").mapInArrow(verified, "a long, b long")
+    component = connected_components(true).withColumnRenamed("node", "_n")
+    grouped = found.groupBy("node").agg(F.min("doc_id").alias("least")).join(component, F.col("node") == F.col("_n"), "left")
+    grouped = grouped.select("node", "least", F.coalesce("component", "node").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
+    return found.select("doc_id", "text_hash", "node").join(grouped.join(least, "group").select("node", "component_id"), "node").select("doc_id", "text_hash", "component_id")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, fingerprints: int = 8) -> DataFrame:
-    """The documents, with all their columns, without those that have a smaller id in their group.
+    """The documents, with all their columns, without those that have a smaller id in their group of `near_copies`.
 
     Of rows that share an id one stays. Rows without an id can't be told apart and stay.
     """
-    found = checkpointed(near_duplicates_wide(docs, id_col, text_col, shingle, fingerprints))
+    found = checkpointed(near_copies(docs, id_col, text_col, shingle, fingerprints))
     mark = free_name(docs, "_gone")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(mark)).distinct()
     kept = docs.join(gone, docs[id_col].cast("long") == gone[mark], "left_anti")

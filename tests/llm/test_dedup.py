@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.components import connected_components
 from lexmill.llm.line_dedup import LineIndex, PerfectHash, dedup_lines
-from lexmill.llm.simhash import COMBINATIONS, _keys, chain_fits, drop_near_duplicates, link_entries, near_duplicates, near_duplicates_wide, several_fingerprints_of
+from lexmill.llm.simhash import COMBINATIONS, _keys, chain_fits, drop_near_duplicates, link_entries, near_copies, near_duplicates, near_duplicates_wide, several_fingerprints_of, similar_links
 from lexmill.llm.substring_dedup import dedup_substrings
 from tests.llm.conftest import ODD, PASSAGE
 
@@ -165,3 +165,58 @@ def test_components(spark):
 def test_drop_near_duplicates(make):
     kept = drop_near_duplicates(make([(1, PASSAGE), (2, PASSAGE), (3, "other words here entirely"), (3, "other words here entirely"), (None, PASSAGE)]).withColumn("_gone", F.lit(1)))
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3] and "_gone" in kept.columns
+
+
+def _similar(a, b, size=5):
+    x, y = ({tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set() for w in ((t or "").encode().lower().split() for t in (a, b)))
+    return x == y or bool(x and y) and len(x & y) >= 0.8 * len(x | y)
+
+
+def _closure(rows):
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if group[a] != group[b] and _similar(rows[a][1], rows[b][1]):
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    return [min((rows[k][0] for k in range(len(rows)) if group[k] == g and rows[k][0] is not None), default=None) for g in group]
+
+
+def _near_texts():
+    """Texts whose copies have one to six words changed: similarities from 0.6 to 1."""
+    rng, rows = random.Random(11), []
+    for base in range(12):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+        for copy in range(5):
+            own = list(words)
+            for k in rng.sample(range(120), copy if base % 2 else copy + 2):
+                own[k] = f"c{rng.randint(0, 10**6)}"
+            rows.append((100 * base + copy, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("tile", [512, 2])
+def test_near_copies_are_all_pairs_of_similar_texts(make, monkeypatch, tile):
+    from lexmill.llm import simhash
+
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rows = [*ODD, *_near_texts()]
+    got = sorted(((r.doc_id, r.component_id) for r in near_copies(make(rows)).collect()), key=str)
+    assert got == sorted(((i, c) for (i, _), c in zip(rows, _closure(rows), strict=True)), key=str)
+    assert near_copies(make([])).collect() == []
+    unique = _near_texts()
+    kept = {r.doc_id for r in drop_near_duplicates(make(unique)).collect()}
+    assert kept == set(_closure(unique))
+
+
+def test_similar_links():
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 2**60, 200).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(len(base)) < p], rng.integers(0, 2**60, k).astype(np.uint64)])) for p in (1.0, 0.95, 0.9, 0.8, 0.5) for k in (1, 10, 30)]
+    share = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    links = similar_links(sets, 0.8)
+    assert links and all(share(sets[a], sets[b]) >= 0.8 for a, b in links)
+    root = list(range(len(sets)))
+    for a, b in links:
+        root = [root[a] if r == root[b] else r for r in root]
+    assert all(root[a] == root[b] for a in range(len(sets)) for b in range(a) if share(sets[a], sets[b]) >= 0.8)
