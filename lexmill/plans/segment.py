@@ -50,21 +50,25 @@ def split(docs: DataFrame, config: dict[str, Any], model: Model | None = None) -
     return _records(out, topical).drop("texts", "topic_starts")
 
 
-def by_chunks(docs: DataFrame, config: dict[str, Any]) -> DataFrame:
-    """As split, with texts over the limit cut into chunks whose sentences are renumbered through the document."""
+def by_chunks(docs: DataFrame, config: dict[str, Any], model: Model | None = None) -> DataFrame:
+    """As split, with texts over the limit cut into chunks whose sentences are renumbered through the document.
+
+    The language is the whole text's, the tier the last chunk's; sentences keep their chunk's language.
+    """
     pieces = sentences.chunked(docs, config["max_input_length"])
-    done = split(pieces.withColumn("whole", F.col("doc_id")).withColumn("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string"))), config)
-    gathered = done.groupBy(F.col("whole").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("chunk_no", "language", "tier_used", "sentences"))).alias("c"))
+    done = split(pieces.withColumn("whole", F.col("doc_id")).withColumn("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string"))), config, model)
+    gathered = done.groupBy(F.col("whole").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("chunk_no", "tier_used", "sentences"))).alias("c"))
     flat = F.transform(F.flatten(F.transform("c", lambda c: c["sentences"])), lambda s, i: s.withField("index", i)).cast(SENTENCES)
-    found = gathered.select("doc_id", F.col("c")[0]["language"].alias("language"), F.col("c")[0]["tier_used"].alias("tier_used"), flat.alias("sentences"))
+    found = gathered.select("doc_id", F.element_at("c", -1)["tier_used"].alias("tier_used"), flat.alias("sentences"))
     none = F.array().cast(SENTENCES)
-    return docs.join(found, "doc_id", "left").withColumns({"language": F.coalesce("language", F.lit("zh")), "tier_used": F.coalesce("tier_used", F.lit("tier3_rule")), "sentences": F.coalesce("sentences", none)})
+    told = detect(docs, "text", config["language"]).drop("confidence").withColumn("language", F.when(is_blank(F.col("text")), "zh").otherwise(F.col("language")))
+    return told.join(found, "doc_id", "left").withColumns({"tier_used": F.coalesce("tier_used", F.lit("tier3_rule")), "sentences": F.coalesce("sentences", none)})
 
 
-def by_paragraphs(docs: DataFrame, config: dict[str, Any]) -> DataFrame:
+def by_paragraphs(docs: DataFrame, config: dict[str, Any], model: Model | None = None) -> DataFrame:
     """(doc_id, scenes): scenes of each line for itself, short ones merged, numbered through the document."""
     lines = paragraphs(docs, separator="\n").where(~sentences.is_separator(F.col("text"))).select(F.col("doc_id").alias("whole"), "paragraph", "text")
-    done = split(lines.withColumn("doc_id", F.concat_ws(":", F.col("whole").cast("string"), F.col("paragraph").cast("string"))), config)
+    done = split(lines.withColumn("doc_id", F.concat_ws(":", F.col("whole").cast("string"), F.col("paragraph").cast("string"))), config, model)
     packed = let(scenes.pack_documents(done, config["scene"]), merged=scenes.merge_short(F.col("scenes"), config["scene"]["target_seconds"]))
     gathered = packed.groupBy(F.col("whole").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("paragraph", "merged"))).alias("p"))
     return gathered.select("doc_id", scenes.renumber(F.flatten(F.transform("p", lambda p: p["merged"]))).alias("scenes"))
@@ -76,14 +80,14 @@ def segment(docs: DataFrame, config: dict[str, Any] | None = None, model: Model
     docs = docs.select("doc_id", "text")
     long_ = F.length("text") > config["max_input_length"]
     plain = split(docs.where(~F.coalesce(long_, F.lit(False))), config, model)
-    large = by_chunks(docs.where(long_), config).select(*plain.columns)
+    large = by_chunks(docs.where(long_), config, model).select(*plain.columns)
     out = plain.unionByName(large)
     rule = config["length"]
     controlled = let(out, _s=length.apply(F.col("sentences"), rule["strategy"], rule["min_chars"], rule["max_chars"], rule["prefer_punctuation"]))
     out = controlled.withColumn("sentences", sentences.without_separators(F.col("_s"))).drop("_s")
     if config["enable_paragraph_aware"]:
         none = F.array().cast("array<struct<segment_id:int,text:string,estimated_duration:double,target_words:int,n_sentences:int,first_sentence:int>>")
-        out = out.join(by_paragraphs(docs, config), "doc_id", "left").withColumn("scenes", F.coalesce("scenes", none))
+        out = out.join(by_paragraphs(docs, config, model), "doc_id", "left").withColumn("scenes", F.coalesce("scenes", none))
     else:
         out = scenes.pack_documents(out, config["scene"])
     if config["enable_script_analysis"]:

@@ -107,3 +107,21 @@ def test_chunk_stream(spark, tmp_path):
     got = spark.table("events").collect()
     assert [r.event for r in got].count("result") == 1 and len(got) == pieces.count() + 1
     assert chunks.progress(pieces).agg(F.max("sentences_so_far")).first()[0] == [r for r in got if r.event == "result"][0].sentences_so_far
+
+
+def test_chunks_take_the_whole_texts_language(spark):
+    text = "Plain words first. " * 3 + "今天天气真好。小明走进超市。" * 20
+    docs = io.from_texts(spark, [text, "   " * 50])
+    got = {r.doc_id: r for r in plan.segment(docs, {"max_input_length": 60}, with_subtitles=False).collect()}
+    assert got[0].language == "zh" and got[1].language == "zh" and {s.language for s in got[0].sentences} >= {"en", "zh"}
+    assert [s["index"] for s in got[0].sentences] == list(range(len(got[0].sentences)))
+
+
+def test_model_reaches_chunks_and_paragraphs(spark):
+    docs = io.from_texts(spark, ["One two three. Four five six.\nSeven eight nine. Ten eleven twelve."])
+    one = lambda messages: '["From the model."]'
+    over = {"enable_llm": True, "mode": "precise"}
+    cut = plan.segment(docs, {**over, "max_input_length": 30}, one, with_subtitles=False).first()
+    assert cut.tier_used == "tier1_llm" and {s.text for s in cut.sentences} == {"From the model."}
+    lines = plan.segment(docs, {**over, "enable_paragraph_aware": True}, one, with_subtitles=False).first()
+    assert all("From the model." in s.text for s in lines.scenes)
