@@ -47,13 +47,17 @@ _MORE = {
     "ip": re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])"),
     "card": re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
-    "id": re.compile(r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7})(?![0-9A-Za-z-])"),
+    "id": re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     "secret": re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{32,128}|(?:AKIA|ghp_|sk-)[0-9A-Za-z]{16,64})(?![0-9A-Za-z])"),
 }
+#: International account numbers of 15 to 34 characters in any grouping; national phone numbers of 8 to 12 digits.
+_IBAN = re.compile(r"(?<![0-9A-Za-z-])[A-Z]{2}[0-9]{2}(?:[ \u00A0-]?[A-Z0-9]){11,30}")
+_NATIONAL = re.compile(r"(?<![0-9A-Za-z+])(?<![0-9][ ./-])(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ ./-])[0-9]{2,8}(?:[ ./-][0-9]{2,8}){0,4}(?![ ./-]?[0-9])(?![A-Za-z])|(?<![0-9A-Za-z+.,-])(?:0[1-9][0-9]{7,10}|[6-9][0-9]{8})(?![0-9A-Za-z])")
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[ ./-][0-9]{1,2}[ ./-][0-9]{1,2}|[0-9]{1,2}[ ./-][0-9]{1,2}[ ./-](?:19|20)[0-9]{2}")
 #: Words that speak for or against a kind where they stand shortly before a candidate.
 _HINTS = (
     re.compile(r"card|visa|master|kredit|carte|tarjeta", re.I),
-    re.compile(r"phone|tel|call|mobile|fax|llam", re.I),
+    re.compile(r"phone|t[eé]l|call|mobile|fax|llam|appel|handy|m[oó]vil|rufnummer", re.I),
     re.compile(r"mail|contact|write|kontakt", re.I),
     re.compile(r"\bip\b|host|address|server|login", re.I),
     re.compile(r"ssn|social|iban|account|passport|konto|compte", re.I),
@@ -105,20 +109,46 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def mod97(own: str) -> bool:
+    """Whether an international account number's check digits are right."""
+    own = "".join(c for c in own if c.isalnum())
+    return own[:2].isalpha() and int("".join(str(int(c, 36)) for c in own[4:] + own[:4])) % 97 == 1
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """From each start the longest number and those that end with an earlier group, of 15 to 34 characters."""
+    for m in _IBAN.finditer(text):
+        n, start = 0, m.start()
+        for k in range(start, m.end()):
+            n += text[k].isalnum()
+            if 15 <= n <= 34 and text[k].isalnum() and not text[k + 1 : k + 2].isalnum() and (text[k + 1 : k + 2] != "-" or k + 1 < m.end()):
+                yield start, k + 1
+
+
+def _nationals(text: str) -> Iterator[tuple[int, int]]:
+    for m in _NATIONAL.finditer(text):
+        if 8 <= sum("0" <= c <= "9" for c in m.group()) <= 12:
+            yield m.span()
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Spans that the generators propose; they may overlap each other and base matches."""
-    kinds = KINDS if _DIGIT.search(text) else ("email", "secret")
-    return [(k, *m.span()) for k in kinds if k != "email" or "at" in text and ("[" in text or "(" in text) for m in _MORE[k].finditer(text)]
+    digits = bool(_DIGIT.search(text))
+    kinds = KINDS if digits else ("email", "secret")
+    out = [(k, *m.span()) for k in kinds if k != "email" or "at" in text and ("[" in text or "(" in text) for m in _MORE[k].finditer(text)]
+    return out + [("id", *s) for s in _ibans(text)] + [("phone", *s) for s in _nationals(text)] if digits else out
 
 
 def features(text: str, kind: str, start: int, stop: int) -> list[float]:
     own, left, right = text[start:stop], text[max(0, start - 32) : start], text[stop : stop + 12]
     digits = "".join(c for c in own if "0" <= c <= "9")
     groups = re.findall(r"[0-9]+", own)
+    account = kind == "id" and own[:2].isalpha()
     return [
         *(float(kind == k) for k in KINDS), float(len(own)), float(len(digits)), len(digits) / len(own), float(len(groups)), float(max(map(len, groups), default=0)),
         float(len(digits) >= 12 and luhn(digits)), float(digits[:1] in ("3", "4", "5", "6") and digits != ""), len(set(own)) / len(own), float(sum(c in " -.()" for c in own)),
         float(left[-1:].isalnum()), float(right[:1].isalnum()), float(left.rstrip()[-1:] in ("=", ":")), float(left[-1:] in ("\"", "'")), *(float(bool(h.search(left))) for h in _HINTS),
+        float(account), float(account and mod97(own)), float(digits[:1] == "0"), float(bool(_DATE.fullmatch(own))),
     ]
 
 
@@ -154,6 +184,31 @@ def _number(rng: random.Random, n: int, valid: bool | None = None) -> str:
             return out
 
 
+#: Lengths of account numbers by country, and how many letters follow the check digits.
+_ACCOUNTS = (("DE", 22, 0), ("FR", 27, 0), ("ES", 24, 0), ("GB", 22, 4), ("NL", 18, 4), ("IT", 27, 1), ("AT", 20, 0), ("BE", 16, 0), ("CH", 21, 0), ("NO", 15, 0), ("PT", 25, 0), ("MT", 31, 4))
+
+
+def _account(rng: random.Random, valid: bool) -> str:
+    """An account number with right or wrong check digits, compact or in groups."""
+    country, n, letters = rng.choice(_ACCOUNTS)
+    rest = "".join(rng.choice("ABCDEFGHIKLMNPRSTUVW") for _ in range(letters)) + "".join(rng.choice("0123456789") for _ in range(n - 4 - letters))
+    check = 98 - int("".join(str(int(c, 36)) for c in rest + country + "00")) % 97
+    own = f"{country}{check if valid else (check + rng.randint(1, 90)) % 97:02d}{rest}"
+    return own if rng.random() < 0.5 else " ".join(own[i : i + 4] for i in range(0, n, 4))
+
+
+def _national(rng: random.Random) -> str:
+    """A national phone number in one of several groupings (8 to 12 digits)."""
+    shape = rng.choice(("0d dd dd dd dd", "0dd dddddddd", "0ddd ddddddd", "ddd ddd ddd", "0ddd/dddddd", "0dddd-dddddd", "(0dd) dddddddd", "dd dd dd dd", "0d.dd.dd.dd.dd", "0ddddddddd", "ddd dd dd dd", "0ddd ddd dddd"))
+    return "".join(rng.choice("0123456789") if c == "d" else c for c in shape)
+
+
+def _plain_numbers(rng: random.Random) -> str:
+    """A date or numbers in a row: shapes of national numbers that are none."""
+    y, m, t = rng.randint(1950, 2030), rng.randint(1, 12), rng.randint(1, 28)
+    return rng.choice((f"{y}-{m:02d}-{t:02d}", f"{t:02d}.{m:02d}.{y}", f"{t:02d}/{m:02d}/{y}", *[" ".join(str(rng.randint(10, 99999)) for _ in range(3))] * 2))
+
+
 def examples(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
     """Seeded (text, kind, start, stop, 1 if personal) rows, about as many of each kind."""
     rng = random.Random(seed)
@@ -164,11 +219,11 @@ def examples(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
         "email": [lambda: f"{word()} [at] {word()} [dot] com", lambda: f"{word()}(at){word()}.org"],
         "ip": [lambda: ":".join(hexes(4) for _ in range(8))],
         "card": [lambda: _number(rng, 16, True), lambda: "-".join(re.findall("....", _number(rng, 16, True))), lambda: _number(rng, 15, True)],
-        "phone": [lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}"],
-        "id": [lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"DE{d(2)} " + " ".join(d(4) for _ in range(4))],
+        "phone": [lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", *[lambda: _national(rng)] * 4],
+        "id": [lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: _account(rng, True)],
         "secret": [lambda: hexes(40), lambda: "ghp_" + hexes(36), lambda: hexes(64)],
     }
-    said = {"email": "contact mail write", "ip": "ip host login", "card": "card visa pay", "phone": "phone call tel", "id": "ssn iban account", "secret": "token key secret"}
+    said = {"email": "contact mail write", "ip": "ip host login", "card": "card visa pay", "phone": "phone call tel telefon appel handy", "id": "ssn iban account konto compte", "secret": "token key secret"}
     against = "version isbn order sha commit checksum price serial invoice tracking".split()
     out = []
     for k in range(n):
@@ -185,6 +240,12 @@ def examples(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
                 hint = rng.choice([*against, word()])
             elif kind in ("email", "ip"):
                 hint, own = rng.choice(against), own if kind == "ip" else f"{word()} (at) {word()}.{d(2)}"
+            elif kind == "phone" and rng.random() < 0.3:
+                own = _plain_numbers(rng)
+            elif kind == "id" and own[:2].isalpha():
+                hint = rng.choice([hint, *said["id"].split()])
+                # wrong check digits, or a right number and a word too much
+                own = _account(rng, False) if rng.random() < 0.6 else _account(rng, True) + " " + "".join(rng.choice("ABDEGKLNORST") for _ in range(rng.randint(1, 7)))
         left = f"{word()} {word()} {hint}{join}"
         out.append((f"{left}{own} {word()}", kind, len(left), len(left) + len(own), int(yes)))
     return out

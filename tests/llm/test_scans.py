@@ -115,3 +115,19 @@ def test_personal_data(make):
     assert by[20].redacted == "mail [EMAIL] or [PHONE], [IP], [CARD]" and redacted("abc", []) == "abc"
     assert find_personal_data(make([])).collect() == []
     assert by[8].spans[0].start == ODD[8][1].index("a.b@")
+
+
+def test_account_numbers_of_any_length_and_grouping():
+    for own in ("DE89370400440532013000", "FR1420041010050500013M02606", "GB29NWBK60161331926819", "DE89 3704 0044 0532 0130 00", "FR14 2004 1010 0505 0001 3M02 606", "NO9386011117947", "ES91 2100 0418 4502 0005 1332"):
+        for text in (f"my iban {own} thanks", f"IBAN: {own}.", f"konto {own} BANK AG"):
+            start = text.index(own)
+            assert ("id", start, start + len(own)) in candidates(text), text
+            assert ("id", start, start + len(own)) in [s[:3] for s in fitted().spans(text)], text
+
+
+def test_national_phone_numbers():
+    for own in ("06 12 34 56 78", "030 12345678", "0171 1234567", "612 345 678", "0171/1234567", "(030) 12345678", "0612345678"):
+        text = f"phone {own} please"
+        assert ("phone", 6, 6 + len(own)) in candidates(text) and redacted(text, fitted().spans(text)) == "phone [PHONE] please", text
+    for text in ("it was on 2024-11-26 then", "order 06 12 34 56 78 came", "price 12 345 678 99 then"):
+        assert not fitted().spans(text), text
