@@ -95,8 +95,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return all_.join(hit, all_["doc_id"].eqNullSafe(hit["id"]), "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
-    """The documents, with all their columns, that hold no window of the benchmark."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """The documents, with all their columns, that hold no window of the benchmark.
+
+    A row is told by its id and its text, so rows of a null or repeated id are each judged on their own text.
+    """
     mark = free_name(docs, "_hit")
-    bad = contamination(docs, benchmark, id_col=id_col, **more).where("n_hit > 0").select(F.col("doc_id").alias(mark))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad[mark]), "left_anti")
+    own = f"{mark}_own"
+    keyed = docs.withColumn(own, F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash")))
+    bad = contamination(keyed, benchmark, id_col=own, text_col=text_col, **more).where("n_hit > 0").select(F.col("doc_id").alias(mark))
+    return keyed.join(bad, keyed[own].eqNullSafe(bad[mark]), "left_anti").drop(own)

@@ -352,8 +352,8 @@ def similar_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, fingerprints: int = 8, similarity: float = 0.8) -> DataFrame:
-    """Per document: doc_id, text_hash (long) and component_id, the least id reachable over pairs of texts whose sets of
-    shingles have a Jaccard similarity of `similarity` or more.
+    """Per document: doc_id, text_hash (long), component_id and component_hash: the least id, and its least text_hash,
+    reachable over pairs of texts whose sets of shingles have a Jaccard similarity of `similarity` or more.
 
     Candidates come from the close fingerprints of `near_duplicates_wide` and from keys of least hashes: two sets of
     similarity s share one of the 24 keys but for a chance of (1 - s^4)^24, 3 in a million at 0.8. Candidates only make
@@ -430,22 +430,27 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = texts.mapInArrow(sets, "node long, block long, tiles int, held binary").select("node", "block", "held", F.explode(pairs).alias("pair"))
     true = met.repartition(n, "block", "pair").mapInArrow(verified, "a long, b long")
     component = connected_components(true).withColumnRenamed("node", "_n")
-    grouped = found.groupBy("node").agg(F.min("doc_id").alias("least")).join(component, F.col("node") == F.col("_n"), "left")
+    identity = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    grouped = found.groupBy("node").agg(F.min(identity).alias("least")).join(component, F.col("node") == F.col("_n"), "left")
     grouped = grouped.select("node", "least", F.coalesce("component", "node").alias("group"))
-    least = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
-    return found.select("doc_id", "text_hash", "node").join(grouped.join(least, "group").select("node", "component_id"), "node").select("doc_id", "text_hash", "component_id")
+    least = grouped.groupBy("group").agg(F.min("least").alias("of"))
+    told = grouped.join(least, "group").select("node", F.col("of.doc_id").alias("component_id"), F.col("of.text_hash").alias("component_hash"))
+    return found.select("doc_id", "text_hash", "node").join(told, "node").select("doc_id", "text_hash", "component_id", "component_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, fingerprints: int = 8) -> DataFrame:
     """The documents, with all their columns, without those that have a smaller id in their group of `near_copies`.
 
-    Of rows that share an id one stays. Rows without an id can't be told apart and stay.
+    A row is told by its id and its text: rows that share an id are each judged on their own text, and of equal ones one
+    stays. Rows without an id can't be told apart and stay.
     """
-    found = checkpointed(near_copies(docs, id_col, text_col, shingle, fingerprints))
+    found = checkpointed(near_copies(docs, id_col, text_col, shingle, fingerprints).where("doc_id IS NOT NULL"))
     mark = free_name(docs, "_gone")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(mark)).distinct()
-    kept = docs.join(gone, docs[id_col].cast("long") == gone[mark], "left_anti")
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    own, text = f"{mark}_text", F.xxhash64(F.col(text_col).cast("string"))
+    gone = found.where("doc_id <> component_id OR text_hash <> component_hash").select(F.col("doc_id").alias(mark), F.col("text_hash").alias(f"{mark}_hash")).distinct()
+    keyed = docs.withColumn(own, text)
+    kept = keyed.join(gone, (keyed[id_col].cast("long") == gone[mark]) & (keyed[own] == gone[f"{mark}_hash"]), "left_anti")
+    repeated = found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
     if not repeated:
-        return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+        return kept.drop(own)
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, own]).unionByName(kept.where(F.col(id_col).isNull())).drop(own)

@@ -220,3 +220,11 @@ def test_similar_links():
     for a, b in links:
         root = [root[a] if r == root[b] else r for r in root]
     assert all(root[a] == root[b] for a in range(len(sets)) for b in range(a) if share(sets[a], sets[b]) >= 0.8)
+
+
+def test_rows_of_a_repeated_id_are_judged_by_their_own_text(make):
+    other = " ".join(WORDS_OF(3))
+    rows = [(1, PASSAGE), (3, PASSAGE), (3, "other words here entirely"), (3, "other words here entirely"), (3, other), (None, "alone")]
+    kept = drop_near_duplicates(make(rows).withColumn("_gone", F.lit(1)))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, PASSAGE), (3, "other words here entirely"), (3, other), (None, "alone")], key=str)
+    assert kept.columns == [*make(rows).columns, "_gone"]

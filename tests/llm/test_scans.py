@@ -131,3 +131,11 @@ def test_national_phone_numbers():
         assert ("phone", 6, 6 + len(own)) in candidates(text) and redacted(text, fitted().spans(text)) == "phone [PHONE] please", text
     for text in ("it was on 2024-11-26 then", "order 06 12 34 56 78 came", "price 12 345 678 99 then"):
         assert not fitted().spans(text), text
+
+
+def test_clean_rows_of_a_null_or_repeated_id_stay(spark, make):
+    bench = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    rows = [(None, f"x {PASSAGE}"), (None, "clean"), (4, PASSAGE), (4, "clean too"), (4, None), (5, "clean")]
+    kept = decontaminate(make(rows), bench)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(None, "clean"), (4, "clean too"), (4, None), (5, "clean")], key=str)
+    assert kept.columns == make(rows).columns
