@@ -87,8 +87,11 @@ class Bucket:
         at = at[hits[np.minimum(at + reach, self.n)] > hits[at]]
         second = self.rolling(P2, mix(self.words + np.uint64(1)))
         rest = self.window - self.block
-        a = mix(self.first[at] * P1 ** np.uint64(31) + self.first[at + rest])
-        b = mix(second[at] * P2 ** np.uint64(29) + second[at + rest]) >> np.uint64(32)
+        a, b = self.first[at], second[at]
+        # blocks that together hold all the window's words: every block's length one, and the last
+        for step in [*range(self.block, rest, self.block), rest]:
+            a, b = a * P1 ** np.uint64(31) + self.first[at + step], b * P2 ** np.uint64(29) + second[at + step]
+        a, b = mix(a), mix(b) >> np.uint64(32)
         return at, a, b.astype(np.uint32)
 
     def windows(self, marks: np.ndarray):

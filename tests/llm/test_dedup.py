@@ -228,3 +228,10 @@ def test_rows_of_a_repeated_id_are_judged_by_their_own_text(make):
     kept = drop_near_duplicates(make(rows).withColumn("_gone", F.lit(1)))
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, PASSAGE), (3, "other words here entirely"), (3, other), (None, "alone")], key=str)
     assert kept.columns == [*make(rows).columns, "_gone"]
+
+
+def test_windows_longer_than_two_blocks_compare_all_words(make):
+    head, tail = [f"h{k}" for k in range(10)], [f"t{k}" for k in range(10)]
+    rows = [(k, " ".join([*head, *(f"m{k}_{j}" for j in range(10)), *tail])) for k in range(2)] + [(5, " ".join(f"r{j}" for j in range(40)))] + [(6, "x " + " ".join(f"r{j}" for j in range(40)))]
+    got = dedup_substrings(make(rows), window=30, block=10).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == sorted(brute_substrings(rows, 30))
