@@ -27,12 +27,17 @@ def ascii_lower(text: Column) -> Column:
 
 def space_words(text: Column) -> Column:
     """Array of words [^\\x20\\x09-\\x0D]+ of a text; null gives an empty array."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")
 
 
 def alnum_words(text: Column) -> Column:
     """Array of words of ASCII letters, digits and non-ASCII characters of the lower-cased text."""
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_ALNUM), lambda w: w != "")
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_ALNUM), "")
+
+
+def row_key(id_col: str, text: Column) -> Column:
+    """What tells rows: the id and 128 bits of the text. Rows of one key are equal in both, so they share results."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
 
 
 def let(df: DataFrame, **values: Column) -> DataFrame:
@@ -73,6 +78,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if base is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"/tmp/lexmill-shared-{sc.applicationId}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)

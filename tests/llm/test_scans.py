@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from lexmill.llm.boosting import BoostedTrees, threshold_for
 from lexmill.llm.decontaminate import contamination, decontaminate
@@ -139,3 +140,22 @@ def test_clean_rows_of_a_null_or_repeated_id_stay(spark, make):
     kept = decontaminate(make(rows), bench)
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(None, "clean"), (4, "clean too"), (4, None), (5, "clean")], key=str)
     assert kept.columns == make(rows).columns
+
+
+def test_whole_license_texts_and_rows_of_one_id(make):
+    from lexmill.llm.license_texts import TEXTS
+
+    assert min(len(words(t)) for t in TEXTS.values()) > 63
+    rows = [(k, f"start {t} {'end of file ' * 40}") for k, t in enumerate(TEXTS.values())]
+    cut = TEXTS["zlib"].split()
+    rows += [(50, " ".join(cut[:40] + ["two", "words"] + cut[40:])), (51, " ".join(cut[: len(cut) // 3])), (60, "gnu general x x"), (60, "x general public license"), (61, "mit license"), (61, "mit license")]
+    got = scan_licenses(make(rows)).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    for k, label in enumerate(TEXTS):
+        assert label in by[k].labels and by[k].score == 1 and any(s.label == label and s.start == 1 for s in by[k].spans), label
+    assert by[50].labels == ["zlib"] and by[50].score > 0.9 and by[51].labels == []
+    assert all(r.n_base == 0 and r.base_labels == [] for r in got if r.doc_id == 60)
+    assert [(r.n_base, r.first_word) for r in got if r.doc_id == 61] == [(1, 0), (1, 0)]
+    with pytest.raises(ValueError, match="fewer"):
+        scan_licenses(make([]), notices={"x": "one two"})
