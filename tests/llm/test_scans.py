@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.llm.boosting import BoostedTrees, threshold_for
 from lexmill.llm.decontaminate import contamination, decontaminate
@@ -159,3 +160,18 @@ def test_whole_license_texts_and_rows_of_one_id(make):
     assert [(r.n_base, r.first_word) for r in got if r.doc_id == 61] == [(1, 0), (1, 0)]
     with pytest.raises(ValueError, match="fewer"):
         scan_licenses(make([]), notices={"x": "one two"})
+
+
+def test_rows_of_one_id_are_judged_apart(spark, make):
+    bench = spark.createDataFrame([(1, PASSAGE), (2, "two words")], "item_id long, text string")
+    docs = [(1, " ".join(PASSAGE.split()[:10])), (1, " ".join(["x", *PASSAGE.split()[:10]])), (1, "clean"), (2, "two words"), (2, "two words"), (None, PASSAGE), (None, None)]
+    for limit in (1000, 0):
+        got = contamination(make(docs), bench, broadcast_windows=limit).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got), key=str) == sorted(brute_hits(docs, [(1, PASSAGE), (2, "two words")]), key=str)
+
+
+def test_benchmark_without_broadcast_on_whole_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    one, two = (sorted(map(tuple, contamination(docs, bench, broadcast_windows=n).select("doc_id", "n_words", "n_hit", F.array_join("items", ",")).collect())) for n in (1_000_000, 0))
+    assert one == two and any(r[2] for r in one)
