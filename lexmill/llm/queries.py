@@ -12,7 +12,7 @@ from lexmill.llm.common import let, work_dir
 from lexmill.llm.decontaminate import contamination
 from lexmill.llm.license_scan import scan_licenses
 from lexmill.llm.line_dedup import dedup_lines
-from lexmill.llm.mixing import DOMAINS, WEIGHTS, mix
+from lexmill.llm.mixing import DOMAINS, OTHERS, WEIGHTS, mix
 from lexmill.llm.pii import KINDS, find_personal_data
 from lexmill.llm.quality_rules import fit_rules, judge
 from lexmill.llm.sharding import ShardStore
@@ -73,14 +73,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mix_sql() -> str:
-    cases = lambda column, values, other: f"CASE {' '.join(f'WHEN {column} = {chr(39)}{k}{chr(39)} THEN {v}' for k, v in values)} ELSE {other} END"
-    domain = cases("source", [(s, f"'{d}'") for d, members in DOMAINS.items() for s in members], "'other'")
+    cases = lambda column, values, other: f"CASE {' '.join(f'WHEN {column} = {k} THEN {v}' for k, v in values)} ELSE {other} END"
+    domain = cases("source", [(f"'{s}'", f"'{d}'") for d, members in DOMAINS.items() for s in members], "'other'")
     sql, above = "", "root"
     names = ["domain", "lang", "source"]
     for k, level in enumerate(names):
         path, family = ", ".join(names[: k + 1]), f"PARTITION BY {', '.join(names[:k])}" if k else ""
         on = " AND ".join(f"n.{p} IS NOT DISTINCT FROM a.{p}" for p in names[:k]) or "true"
-        weight = cases(level, WEIGHTS[level].items(), "1.0") if WEIGHTS[level] else "1.0"
+        weight = cases(level, ((f"'{v}'", w) for v, w in WEIGHTS[level].items() if v != OTHERS), WEIGHTS[level][OTHERS]) if WEIGHTS[level] else "1.0"
         sql += f"""
 n{k} AS (SELECT n.*, a.budget, CAST({weight.replace(level, 'n.' + level)} AS DOUBLE) AS w FROM (SELECT {path}, CAST(sum(tokens) * 2 AS DOUBLE) AS cap FROM leaves GROUP BY {path}) n JOIN {above} a ON {on}),
 m{k} AS (SELECT *, budget - (sum(cap) OVER u - cap) AS l, sum(w) OVER ({family}) - (sum(w) OVER u - w) AS r FROM n{k} WINDOW u AS ({family} ORDER BY cap / w, {level} ROWS UNBOUNDED PRECEDING)),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lexmill.llm.chat_format import MAPPINGS, format_records, formatted, from_json, gather, loss_spans, loss_text, paths_of_type, read_back
 from lexmill.llm.common import work_dir, written
-from lexmill.llm.mixing import mix
+from lexmill.llm.mixing import OTHERS, mix
 from lexmill.llm.quality_rules import FEATURES, cover, filter_quality, fit_rules, judge
 from lexmill.llm.sharding import ShardStore
 from tests.llm.conftest import ODD, PASSAGE
@@ -136,3 +136,79 @@ def test_stages(spark, make, tmp_path):
         assert docs.columns[: len(columns)] == columns
     assert ids[0] == {*range(30), 100, 102} and ids[1] == {*range(30), 102} and ids[2] == set(range(30)) and ids[3] <= ids[2] and ids[4] == ids[3]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids[4]
+
+
+def test_store_keeps_all_columns_below_any_path(spark, make):
+    store = ShardStore(spark, work_dir(spark, "my store [1] {a}"), target_bytes=20_000)
+    one = make([(1, "a"), (None, None)]).withColumn("extra", F.lit(7)).withColumn("_shard", F.lit("own"))
+    store.append(one)
+    store.append(make([(2, "b")]))
+    assert store.compact(at_least=2) == 3 and store.vacuum() > 0
+    got = sorted(((r.doc_id, r.text, r.extra, r._shard) for r in store.read().collect()), key=str)
+    assert got == sorted([(1, "a", 7, "own"), (None, None, 7, "own"), (2, "b", None, None)], key=str) and store.read().columns[-1] == "_shard_"
+    with pytest.raises(ValueError, match="text"):
+        store.append(spark.createDataFrame([(3, 4)], "doc_id long, text long"))
+    assert store.version() == 3 and store.append(make([]).withColumn("later", F.lit(None).cast("string"))) == 4 and "later" in store.read().columns
+
+
+def test_vacuum_leaves_writers_at_work_alone(spark, make):
+    store, docs = ShardStore(spark, work_dir(spark, "two"), target_bytes=20_000), make([(k, f"text {k}") for k in range(20)])
+    store.append(docs)
+    with store._at_work() as folder:
+        docs.write.parquet(f"{store.path}/{folder}")
+        added = store._written(folder, docs.schema)
+        assert store.vacuum() == 0
+        store._commit(2, added, docs.schema)
+    assert store.vacuum() == 0 and store.read().count() == 40
+    with store._at_work() as folder:
+        docs.write.parquet(f"{store.path}/{folder}")
+    assert store.vacuum() > 0 and store.read().count() == 40
+    with store._at_work() as folder:
+        docs.write.parquet(f"{store.path}/{folder}")
+        assert store.vacuum(abandoned_hours=-1) > 0
+
+
+def test_writers_that_lose_the_race_try_again(spark, make):
+    path = work_dir(spark, "race")
+    store, other, docs = ShardStore(spark, path), ShardStore(spark, path), make([(k, f"text {k}") for k in range(8)])
+    store.append(docs)
+    commit, first = store._commit, []
+
+    def late(version, *more):
+        if not first:
+            first.append(other.append(docs))
+        return commit(version, *more)
+
+    store._commit = late
+    assert store.append(docs) == 3 and first == [2] and store.read().count() == 24
+    first.clear()
+    assert store.compact(at_least=2) == 5 and store.read().count() == 32
+    for _ in range(8):
+        other.append(docs)
+    assert other.version() == 13 and other.read().count() == 96 and other.read(5).count() == 32
+
+
+def test_mix_gives_unlisted_values_nothing_or_their_own_weight(make):
+    docs = make([(k, "w " * 10) for k in range(600)])
+    known, other = F.when(F.col("doc_id") < 300, "a").otherwise("new"), {"kind": {"a": 1.0}}
+    got = mix(docs, levels={"kind": known}, weights=other, share=0.5).collect()
+    assert {r.mix.kind for r in got} == {"a"} and len(got) == 150
+    got = mix(docs, levels={"kind": F.when(F.col("doc_id") % 3 > 0, known)}, weights={"kind": {"a": 3.0, OTHERS: 1.0, None: 0.0}}, share=0.5).collect()
+    took = Counter(r.mix.kind for r in got)
+    assert took == {"a": 150, "new": 50}
+
+
+def test_mix_finds_the_end_in_leaves_of_any_size(make):
+    docs = make([(k % 900, "w " * (k % 5 + 1)) for k in range(3000)])
+    for step in (1, 2, 32):
+        got = mix(docs, levels={"all": F.lit("x")}, weights={}, share=0.37, max_epochs=1, digits=step).collect()
+        order = defaultdict(int)
+        for k in range(3000):
+            order[hashlib.md5(f"17:0:{k % 900}".encode()).hexdigest(), k % 900] += k % 5 + 1
+        budget, taken, total = int(sum(order.values()) * 0.37 + 1e-6), set(), 0
+        for (_, i), n in sorted(order.items()):
+            total += n
+            if total > budget:
+                break
+            taken.add(i)
+        assert {r.doc_id for r in got} == taken
