@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexmill.llm.chat_format import MAPPINGS, format_records, formatted, from_json, gather, loss_spans, loss_text, paths_of_type, read_back
+from lexmill.llm.chat_format import MAPPINGS, as_json, format_json, format_records, formatted, from_json, gather, loss_spans, loss_text, path_hash, paths_of_type, read_back, rejects
 from lexmill.llm.common import work_dir, written
 from lexmill.llm.mixing import OTHERS, mix
 from lexmill.llm.quality_rules import FEATURES, cover, filter_quality, fit_rules, judge
@@ -212,3 +212,35 @@ def test_mix_finds_the_end_in_leaves_of_any_size(make):
                 break
             taken.add(i)
         assert {r.doc_id for r in got} == taken
+
+
+def test_layouts_with_more_fields_keep_their_turns(spark):
+    cases = {
+        '{"id":7,"messages":[{"role":"user","content":"hi","name":"x","meta":{"a":[1,{"b":2}]}}],"deep":{"a":{"b":{"c":{"d":{"e":{"f":{"g":[{"h":1}]}}}}}}}}': ("messages", [("user", "hi")]),
+        '{"prompt":"p","response":"r","system":null,"we ird:<x>":[[1]],"b`q":{}}': ("system-prompt-response", [("system", ""), ("user", "p"), ("assistant", "r")]),
+        '{"messages":[{"role":"user","content":"q"},{"role":"assistant"}]}': ("messages", [("user", "q"), ("assistant", "")]),
+        '{"messages":[{"role":"user","content":["parts"]}]}': (None, []), '{"data":{"prompt":"p","response":"r"}}': (None, []), '{"messages":[]}': (None, []),
+    }
+    rows = from_json(spark.createDataFrame([(j,) for j in [*cases, "bad{", None]], "j string"), "j")
+    got = {r.j: r for r in rows.collect()}
+    assert {j: (got[j].layout, [tuple(t) for t in got[j].turns]) for j in cases} == cases
+    assert got["bad{"].rejected == "unreadable" and got[None].rejected == "null record"
+    assert {r.rejected: r.n for r in rejects(rows).groupBy("rejected").agg(F.sum("n").alias("n")).collect()} == {"unknown layout": 3, "unreadable": 1, "null record": 1}
+    more = spark.createDataFrame([(1, [("u", "t", 3)])], "id long, messages array<struct<role:string,content:string,n:int>>").select(F.struct("*").alias("record"))
+    assert [(r.layout, [tuple(t) for t in r.turns]) for r in format_records(more).collect()] == [("messages", [("u", "t")])]
+
+
+def test_hashes_of_paths_are_the_same_on_both_sides(spark):
+    paths = ["messages[].role", "é.文字", ""]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select(F.xxhash64("p").alias("h")).collect()
+    assert [r.h for r in got] == [path_hash(p) for p in paths]
+
+
+def test_records_of_several_layouts_give_the_same_turns(spark):
+    said = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "system", "s\n\0"), (2, 1, "user", "</s>"), (2, 2, "assistant", None), (3, 0, "assistant", "x"), (3, 1, "human", "y"), (4, 0, "user", "z" * 3_000_000), (4, 1, "assistant", "w")]
+    rows = gather(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"))
+    rows = rows.withColumn("json", as_json(rows))
+    typed = {r.conv_id: (r.formatted, r.loss_spans) for r in format_records(rows).collect()}
+    json = {r.conv_id: r for r in format_json(rows.where("json IS NOT NULL"), "json").collect()}
+    assert {k: r.layout for k, r in json.items()} == {1: "prompt-response", 2: "system-prompt-response", 3: "messages"}
+    assert all((r.formatted, r.loss_spans) == typed[k] for k, r in json.items()) and set(typed) == {1, 2, 3, 4}
