@@ -87,9 +87,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written as Parquet in the shared folder and read again; the lineage ends there."""
+    """The rows, written as Parquet in the shared folder and read again; the lineage ends there. The folder goes with the application."""
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
+    sc = df.sparkSession.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

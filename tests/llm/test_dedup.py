@@ -235,3 +235,25 @@ def test_windows_longer_than_two_blocks_compare_all_words(make):
     rows = [(k, " ".join([*head, *(f"m{k}_{j}" for j in range(10)), *tail])) for k in range(2)] + [(5, " ".join(f"r{j}" for j in range(40)))] + [(6, "x " + " ".join(f"r{j}" for j in range(40)))]
     got = dedup_substrings(make(rows), window=30, block=10).collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == sorted(brute_substrings(rows, 30))
+
+
+def test_lines_probe_published_arrays_in_blocks(make):
+    rng = random.Random(8)
+    shared = [f"a shared line of the corpus, number {k}" for k in range(60)]
+    rows = [(k % 90 if k % 13 else None, "\n".join(rng.choice(shared).upper() if rng.random() < 0.3 else rng.choice([*shared, "", "short", f"only here {k}" * 3]) for _ in range(rng.randint(0, 9)))) for k in range(120)] + ODD
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    for low in (1, 3, 300):
+        expected = sorted(brute_lines(rows, 20, low), key=key)
+        for more in ({}, {"shard_lines": 7, "block_bytes": 3000}):
+            got = dedup_lines(make(rows), min_docs=low, **more).collect()
+            assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got), key=key) == expected
+    with pytest.raises(ValueError):
+        dedup_lines(make(rows), min_docs=0)
+
+
+def test_index_refuses_what_it_does_not_hold():
+    rng = np.random.default_rng(4)
+    keys, checks, other = (rng.integers(1, 2**64, 20_000, np.uint64) for _ in range(3))
+    index = LineIndex.from_bytes(LineIndex(keys, np.arange(20_000), np.arange(20_000), checks, np.uint16).to_bytes())
+    assert (index.probe(keys, checks)[0] == np.minimum(np.arange(20_000), 65535)).all()
+    assert not index.probe(keys, other)[0].any() and not index.probe(other, checks)[0].any() and not index.probe(other, other)[0].any()
