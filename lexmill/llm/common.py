@@ -6,7 +6,6 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,18 +101,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound (other words are hashed each time)."""
-
-    bound = 150_000
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.bound:
-            self[word] = h
-        return h
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values, so that leading bits are even."""
     h = h ^ (h >> np.uint64(31))

@@ -6,9 +6,11 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lexmill.llm.components import connected_components
+from lexmill.llm.dealing import Routes, bundle, slices, unbundled
 from lexmill.llm.line_dedup import LineIndex, PerfectHash, dedup_lines
 from lexmill.llm.simhash import COMBINATIONS, _keys, chain_fits, drop_near_duplicates, link_entries, near_copies, near_duplicates, near_duplicates_wide, several_fingerprints_of, similar_links
 from lexmill.llm.substring_dedup import dedup_substrings
+from lexmill.llm.word_hashes import hash_words
 from tests.llm.conftest import ODD, PASSAGE
 
 
@@ -257,3 +259,32 @@ def test_index_refuses_what_it_does_not_hold():
     index = LineIndex.from_bytes(LineIndex(keys, np.arange(20_000), np.arange(20_000), checks, np.uint16).to_bytes())
     assert (index.probe(keys, checks)[0] == np.minimum(np.arange(20_000), 65535)).all()
     assert not index.probe(keys, other)[0].any() and not index.probe(other, checks)[0].any() and not index.probe(other, other)[0].any()
+
+
+def test_repeats_in_copies_runs_and_edges_by_relays(make):
+    rng, passage = random.Random(6), [f"p{k}" for k in range(75)]
+    own = lambda n: [f"w{rng.randint(0, 9)}" for _ in range(n)]
+    texts = [" ".join([*own(rng.randint(0, 25)), *passage[rng.randint(0, 20) : rng.randint(40, 75)], *own(rng.randint(0, 25))]) for _ in range(40)]
+    texts += [texts[k % 7] for k in range(20)] + [" ".join(own(300)), "  ".join(passage * 3), "z" * 200, " ".join(["same"] * 90), "文" * 70 + " " + "文" * 70]
+    rows = [(k * 7 % 101, t) for k, t in enumerate(texts)] + ODD
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    expected = sorted(brute_substrings(rows, 20), key=key)
+    for more in ({}, {"buckets": 11, "direct": 3}):
+        got = dedup_substrings(make(rows), **more).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=key) == expected
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    texts = [b"one two  one\tthree", b"", b" \n", b"one " + b"x" * 70 + b" " + b"x" * 71, ("é 文字 " * 3).encode(), b"two"]
+    hashes, lengths = hash_words(texts)
+    words = [w for t in texts for w in t.split()]
+    assert lengths.tolist() == [len(t.split()) for t in texts] and len(hashes) == len(words)
+    by = dict(zip(words, hashes.tolist(), strict=True))
+    assert all(by[w] == h for w, h in zip(words, hashes.tolist(), strict=True)) and len(set(by.values())) == len(by)
+    assert hash_words([])[0].tolist() == [] and hash_words([b"x" * (1 << 22), b"one"])[0][1] == by[b"one"]
+
+
+def test_relays_carry_what_is_sent():
+    routes, messages = Routes(50, 10), [(k, bytes([k]) * k) for k in range(0, 50, 3)]
+    assert routes.fan == 8 and routes.received(routes.sent(5, messages)) == messages and unbundled(bundle(messages)) == messages
+    assert Routes(50, 50).fan == 1 and slices(np.array([0, 5, 2**48 - 1], np.uint64), 4, 48) == [(0, 0, 2), (3, 2, 3)]
