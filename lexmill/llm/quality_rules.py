@@ -1,7 +1,8 @@
 """Quality rules for documents: fixed base rules and a decision list learned from labelled documents.
 
 Method: sequential covering. From labelled statistics, conjunctions of thresholds are grown one after another (by
-information gain on two thirds of the rows), pruned (on the other third), and kept only if they are precise; covered
+information gain on two thirds of the rows), pruned (on the other third), and kept only if they are precise by the
+Laplace estimate there; covered
 rows are taken out before the next one. The result is an ordered list that reads as text and becomes one Spark
 conditional expression.
 
@@ -21,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import SPACE_CHARS, let, space_words
+from lexmill.llm.common import SPACE_CHARS, free_name, let, space_words
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -38,11 +39,11 @@ def _without(text: Column, pieces) -> Column:
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text", mark: str = "_q") -> DataFrame:
-    """The documents with a struct column of statistics named by `mark`."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    c = {k: f"{mark}_{k}" for k in ("w", "h", "t", "i")}
+    """The documents with a struct column of statistics named by `mark`, which must be free (see `free_name`)."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    c = {k: free_name(docs, f"{mark}_{k}") for k in ("w", "l", "h", "t", "i")}
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(SPACE_CHARS)) != "")
-    out = let(docs, **{c["w"]: space_words(text), f"{mark}_l": lines})
+    out = let(docs, **{c["w"]: space_words(text), c["l"]: lines})
     words = F.col(c["w"])
     n = F.size(words)
     grams = F.when(n >= 3, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))).otherwise(F.array().cast("array<bigint>"))
@@ -56,10 +57,10 @@ def with_statistics(docs: DataFrame, text_col: str = "text", mark: str = "_q") -
     out = let(out, **{c["i"]: F.transform(F.coalesce(again, F.array().cast("array<struct<h:bigint,i:int>>")), lambda x: x["i"])})
     at = F.col(c["i"])
     covered = F.size(F.array_union(at, F.array_union(F.transform(at, lambda i: i + 1), F.transform(at, lambda i: i + 2))))
-    each, share = F.greatest(n, F.lit(1)), F.size(f"{mark}_l")
+    each, share = F.greatest(n, F.lit(1)), F.size(c["l"])
     n_symbols = F.length(text) - F.length(_without(text, SYMBOLS))
     shouts = F.length(text) - F.length(_without(text, "!"))
-    dup = share - F.size(F.array_distinct(f"{mark}_l"))
+    dup = share - F.size(F.array_distinct(c["l"]))
     chars = F.length(F.array_join(words, ""))
     stats = {
         "n_words": n, "word_chars": chars, "n_symbols": n_symbols, "n_dup_lines": dup, "n_repeat_words": covered, "n_lines": share,
@@ -72,7 +73,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", mark: str = "_q") -
         "dup_line_share": ratio("n_dup_lines", "n_lines"), "repeat_share": ratio("n_repeat_words", "n_words"), "words_per_line": ratio("n_words", "n_lines"),
     }
     out = out.withColumn(mark, F.struct(f"{mark}.*", *(v.alias(k) for k, v in more.items())))
-    return out.drop(*c.values(), f"{mark}_l")
+    return out.drop(*c.values())
 
 
 def base_failed(mark: str = "_q") -> Column:
@@ -143,23 +144,22 @@ def _grow(rows: list[tuple[dict, bool]], features, most: int) -> list[Test]:
     return tests
 
 
-def _precision(tests, rows) -> tuple[float, int]:
+def _precision(tests, rows) -> float:
+    """The share of bad rows among those that meet the tests, as if one more of each kind did: few hits prove little."""
     inside = [bad for r, bad in rows if all(t.holds(r) for t in tests)]
-    return (sum(inside) + 1) / (len(inside) + 2), sum(inside)
+    return (sum(inside) + 1) / (len(inside) + 2)
 
 
 def cover(rows: list[tuple[dict, bool]], features=FEATURES, max_rules: int = 12, max_tests: int = 3, min_precision: float = 0.9) -> DecisionList:
-    """Fits a list to (statistics, bad) rows. A rule must keep `min_precision` on the rows that it wasn't grown on and on all."""
+    """Fits a list to (statistics, bad) rows. A rule must keep `min_precision` on the rows that it wasn't grown on and on all (at 0.9, eight hits at least)."""
     out, left = DecisionList(), rows
     while len(out.rules) < max_rules and any(bad for _, bad in left):
         grow, prune = [x for k, x in enumerate(left) if k % 3], left[::3]
         tests = _grow(grow, features, max_tests)
         if not tests:
             break
-        tests = list(max((tests[:k] for k in range(1, len(tests) + 1)), key=lambda x: (_precision(x, prune)[0], -len(x))))
-        sure, hits = _precision(tests, prune)
-        all_sure, all_hits = _precision(tests, left)
-        if hits < 2 or min(sure + 1 / (hits + 2), all_sure + 1 / (all_hits + 2)) < min_precision:
+        tests = list(max((tests[:k] for k in range(1, len(tests) + 1)), key=lambda x: (_precision(x, prune), -len(x))))
+        if min(_precision(tests, prune), _precision(tests, left)) < min_precision:
             break
         out.rules.append(tuple(tests))
         left = [x for x in left if not all(t.holds(x[0]) for t in tests)]
@@ -176,14 +176,17 @@ def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
 
 def judge(docs: DataFrame, rules: DecisionList, text_col: str = "text", mark: str = "_q") -> DataFrame:
-    """The documents with statistics in `mark`, and in `mark`_failed, _rule and _kept the base verdict, the first rule met and the whole verdict."""
+    """The documents with statistics in `mark`, and in `mark`_failed, _rule and _kept the base verdict, the first rule met and the whole verdict.
+
+    Where a column of docs is called so or starts so, underscores are put behind `mark` until none does.
+    """
+    mark = free_name(docs, mark)
     out = with_statistics(docs, text_col, mark).withColumns({f"{mark}_failed": base_failed(mark), f"{mark}_rule": rules.expression(mark)})
     return out.withColumn(f"{mark}_kept", ~F.col(f"{mark}_failed") & F.col(f"{mark}_rule").isNull())
 
 
 def filter_quality(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
     """The documents, with their own columns, that pass."""
-    mark = "_q"
-    while any(c.startswith(mark) for c in docs.columns):
-        mark += "q"
-    return judge(docs, rules, text_col, mark).where(f"{mark}_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    mark = free_name(docs, "_q")
+    judged = judge(docs, rules, text_col, mark)
+    return judged.where(f"{mark}_kept").select(*(F.col(f"`{c}`") for c in docs.columns))

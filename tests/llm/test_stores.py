@@ -10,7 +10,8 @@ import corpus_pipeline
 from lexmill.llm.chat_format import MAPPINGS, as_json, format_json, format_records, formatted, from_json, gather, loss_spans, loss_text, path_hash, paths_of_type, read_back, rejects
 from lexmill.llm.common import work_dir, written
 from lexmill.llm.mixing import OTHERS, mix
-from lexmill.llm.quality_rules import FEATURES, cover, filter_quality, fit_rules, judge
+from lexmill.llm import quality_rules
+from lexmill.llm.quality_rules import FEATURES, DecisionList, cover, filter_quality, fit_rules, judge
 from lexmill.llm.sharding import ShardStore
 from tests.llm.conftest import ODD, PASSAGE
 
@@ -244,3 +245,15 @@ def test_records_of_several_layouts_give_the_same_turns(spark):
     json = {r.conv_id: r for r in format_json(rows.where("json IS NOT NULL"), "json").collect()}
     assert {k: r.layout for k, r in json.items()} == {1: "prompt-response", 2: "system-prompt-response", 3: "messages"}
     assert all((r.formatted, r.loss_spans) == typed[k] for k, r in json.items()) and set(typed) == {1, 2, 3, 4}
+
+
+def test_quality_columns_may_clash_and_rules_need_hits(spark, make):
+    rules = DecisionList([(quality_rules.Test("symbols_per_word", True, 0.5),)])
+    docs = make([(1, PASSAGE), (2, "### " * 80), (2, PASSAGE + " x")]).withColumns({"_Q_w": F.lit(1), "_q": F.lit("own"), "_q_L": F.lit(None).cast("string"), "a.b": F.lit(2)})
+    kept = filter_quality(docs, rules)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
+    judged = judge(docs, rules)
+    assert len(judged.columns) == len(docs.columns) + 4 and judged.count() == 3
+    row = lambda x: {f: 0.0 for f in FEATURES} | {"mean_word": x}
+    assert cover([(row(9.0), True)] * 6 + [(row(1.0), False)] * 60).rules == []
+    assert len(cover([(row(9.0), True), (row(1.0), False), (row(1.0), False), (row(1.0), False)] * 30).rules) == 1
