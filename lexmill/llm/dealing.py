@@ -100,7 +100,7 @@ class Routes:
             messages = self.received(table)
             return self.sent(table.column("to")[0].as_py(), sorted(zip((by for by, _ in messages), answer(messages), strict=True)))
 
-        at_shards = self.relayed(rows).repartition(self.n, "to").groupBy("to").applyInArrow(shard, PACKED)
+        at_shards = self.relayed(rows).repartitionById(self.n, F.col("to")).groupBy("to").applyInArrow(shard, PACKED)
         return self.relayed(at_shards).withColumnRenamed("to", "bucket")
 
 

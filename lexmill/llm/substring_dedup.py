@@ -41,8 +41,8 @@ _BLOCKS, _RUNS, _WINDOWS = 1, 2, 3
 
 
 def ordered(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For entries with equal keys one number: (order, whether new in it, each entry's number). The first key comes first."""
-    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    """For entries with equal keys one number: (order, whether new in it, each entry's number). With several keys, entries stay in order."""
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
     new = np.ones(len(order), bool)
     if len(order):
         new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
@@ -289,10 +289,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     routes = Routes(n, direct)
     passes = _Passes(block, window, routes)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.select("*", bucket_of("doc_id", n)).repartition(n, "bucket")
+    dealt = rows.select("*", bucket_of("doc_id", n)).repartitionById(n, F.col("bucket"))
 
     def met(replies: DataFrame, work, result: str) -> DataFrame:
-        return dealt.groupBy("bucket").cogroup(replies.repartition(n, "bucket").groupBy("bucket")).applyInArrow(lambda own, back: work(own, back), result)
+        return dealt.groupBy("bucket").cogroup(replies.repartitionById(n, F.col("bucket")).groupBy("bucket")).applyInArrow(lambda own, back: work(own, back), result)
 
     replies = routes.answered(dealt.groupBy("bucket").applyInArrow(lambda own: passes.blocks(own), PACKED), _mark).withColumn("step", F.lit(_BLOCKS))
     runs = routes.answered(met(replies, passes.runs, PACKED), _earliest).withColumn("step", F.lit(_RUNS))

@@ -8,7 +8,7 @@ import xxhash
 from lexmill.llm.common import SPACE_CHARS, mix
 
 #: Bytes of texts that are hashed at once; words of more bytes than LONG are hashed one by one.
-PART, LONG = 1 << 22, 64
+PART, LONG = 1 << 18, 64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _VALUES = np.random.default_rng(20).integers(0, 2**64, 256, np.uint64)
