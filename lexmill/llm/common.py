@@ -101,6 +101,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_join(rows: DataFrame, told: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """Inner join of rows with one row a key, when some keys may hold a large part of the rows.
+
+    A key with more than 1/share of the rows is hot. There are fewer than `share` such keys, whatever the size, so
+    what is told of them is broadcast; the others meet by shuffle. rows should be cheap to read twice.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    total = rows.count()
+    hot = checkpointed(counts.where(F.col("_n") * share > total).select(F.col(key).alias("_hot")))
+    rest = rows.join(F.broadcast(hot), rows[key] == hot["_hot"], "left_anti").join(told, key)
+    mine = told.join(F.broadcast(hot), told[key] == hot["_hot"]).drop("_hot")
+    return rest.unionByName(rows.join(F.broadcast(mine), key))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values, so that leading bits are even."""
     h = h ^ (h >> np.uint64(31))

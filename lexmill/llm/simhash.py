@@ -10,8 +10,9 @@ then checked by its full Hamming distance.
 How it runs. Fingerprints are first made distinct, so exact copies cost one entry. Entries of one combination meet in a
 task by their four equal bytes; there only the links that join two groups are emitted (at most one less than entries),
 never all pairs. A combination that very many distinct fingerprints share is split once more by each of its other four
-bytes (three differing bits leave one of them equal), which loses no link. Components come from star rounds over
-checkpointed edges.
+bytes (three differing bits leave one of them equal), and where many share those too, each looks up the values within
+three bits of the 24 that are left, so the work stays in proportion. Components come from star rounds over checkpointed
+edges. Joins by fingerprint or group broadcast what is told of hot keys, of which there can't be many (`spread_join`).
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other. A null id is never a
 component's id unless all its documents' ids are null. Rows that share an id each get a row. An empty table gives an
@@ -21,6 +22,7 @@ empty result. Columns other than id and text are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations as combinations_of
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import checkpointed, free_name, mix, shuffle_partitions
+from lexmill.llm.common import checkpointed, free_name, mix, shuffle_partitions, spread_join
 from lexmill.llm.components import connected_components
 
 SEED = 42
@@ -171,6 +173,27 @@ def _link_sorted(groups: _Groups, entry: np.ndarray, key: np.ndarray, fps: np.nd
         step += 1
 
 
+def _link_dense(groups: _Groups, entry: np.ndarray, fps: np.ndarray, other: list[int]) -> None:
+    """Entries that share all bits but those of three bytes: each looks up all values within three bits of its own.
+
+    The work grows with the number of entries (2324 lookups each), not with its square.
+    """
+    low = np.zeros(len(fps), np.int64)
+    for k in other:
+        low = (low << 8) | _byte(fps, k).astype(np.int64)
+    held, first, of = np.unique(low, return_index=True, return_inverse=True)
+    groups.join(entry, entry[first][of])
+    table = np.full(1 << 24, -1, np.int32)
+    table[held] = np.arange(len(held))
+    own = entry[first]
+    for flipped in (1, 2, 3):
+        for places in combinations_of(range(24), flipped):
+            near = table[held ^ sum(1 << p for p in places)]
+            ok = np.flatnonzero(near > np.arange(len(held)))
+            if len(ok):
+                groups.join(own[ok], own[near[ok]])
+
+
 def link_entries(table_no: np.ndarray, fps: np.ndarray, nodes: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links between the entries of one task: at most one less than nodes, and every linked pair stays connected.
 
@@ -196,8 +219,14 @@ def link_entries(table_no: np.ndarray, fps: np.ndarray, nodes: np.ndarray | None
         for k in rest if len(many) else ():
             finer = (key[many] << np.uint64(8)) | _byte(fps[at[many]], k)
             again = np.argsort(finer, kind="stable")
-            own_at = at[many][again]
-            _link_sorted(groups, node[own_at], finer[again], fps[own_at], starts[many])
+            own_at, finer = at[many][again], finer[again]
+            sizes_now = np.diff(np.flatnonzero(np.concatenate([[True], finer[1:] != finer[:-1], [True]])))
+            few = np.repeat(sizes_now, sizes_now) <= DENSE
+            _link_sorted(groups, node[own_at[few]], finer[few], fps[own_at[few]], starts[many][few])
+            other = [x for x in rest if x != k]
+            for part in np.split(own_at[~few], np.cumsum(sizes_now[sizes_now > DENSE])[:-1]):
+                if len(part):
+                    _link_dense(groups, node[part], fps[part], other)
     return [(int(distinct[a]), int(distinct[b])) for a, b in groups.links]
 
 
@@ -228,10 +257,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     component = connected_components(link_fingerprints(distinct, shuffle_partitions(spark)))
-    grouped = distinct.join(component.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+    grouped = checkpointed(distinct.join(component.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("group")))
     least = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
-    ids = grouped.join(least, "group").select("fp", "component_id")
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = checkpointed(spread_join(grouped, least, "group").select("fp", "component_id"))
+    return spread_join(fps, ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def _salts(n: int) -> np.ndarray:
@@ -295,9 +324,10 @@ def near_duplicates_wide(docs: DataFrame, id_col: str = "doc_id", text_col: str
     nodes = found.groupBy("node").agg(F.first("fps").alias("fps"), F.min("doc_id").alias("least"))
     edges = nodes.select("node", "fps").mapInArrow(entries, "key long, fp long, node long").repartition(n, "key").mapInArrow(links, "a long, b long")
     grouped = nodes.select("node", "least").join(connected_components(edges).withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
-    grouped = grouped.select("node", "least", F.coalesce("component", "node").alias("group"))
+    grouped = checkpointed(grouped.select("node", "least", F.coalesce("component", "node").alias("group")))
     least = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
-    return found.select("doc_id", "node").join(grouped.join(least, "group").select("node", "component_id"), "node").select("doc_id", "component_id")
+    told = checkpointed(spread_join(grouped, least, "group").select("node", "component_id"))
+    return spread_join(found.select("doc_id", "node"), told, "node").select("doc_id", "component_id")
 
 
 def shingle_set(text: bytes | None, size: int) -> np.ndarray:
@@ -420,7 +450,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = nodes.mapInArrow(entries, "key long, fp long, node long").repartition(n, "key").mapInArrow(links, "a long, b long")
     blocks = checkpointed(connected_components(edges).withColumnRenamed("component", "block"))
     tiles = F.least(F.lit(MOST_TILES), F.ceil(F.col("n") / TILE)).cast("int")
-    sized = blocks.join(blocks.groupBy("block").agg(F.count("*").alias("n")), "block").select("node", "block", tiles.alias("tiles"))
+    sized = spread_join(blocks, blocks.groupBy("block").agg(F.count("*").alias("n")), "block").select("node", "block", tiles.alias("tiles"))
     # one row a node brings the text whose set is compared
     one = found.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).join(sized, "node")
     one = one.select("node", "block", "tiles", F.col("r.doc_id").alias("_id"), F.col("r.text_hash").alias("_hash"))
@@ -432,10 +462,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component = connected_components(true).withColumnRenamed("node", "_n")
     identity = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     grouped = found.groupBy("node").agg(F.min(identity).alias("least")).join(component, F.col("node") == F.col("_n"), "left")
-    grouped = grouped.select("node", "least", F.coalesce("component", "node").alias("group"))
+    grouped = checkpointed(grouped.select("node", "least", F.coalesce("component", "node").alias("group")))
     least = grouped.groupBy("group").agg(F.min("least").alias("of"))
-    told = grouped.join(least, "group").select("node", F.col("of.doc_id").alias("component_id"), F.col("of.text_hash").alias("component_hash"))
-    return found.select("doc_id", "text_hash", "node").join(told, "node").select("doc_id", "text_hash", "component_id", "component_hash")
+    told = checkpointed(spread_join(grouped, least, "group").select("node", F.col("of.doc_id").alias("component_id"), F.col("of.text_hash").alias("component_hash")))
+    return spread_join(found.select("doc_id", "text_hash", "node"), told, "node").select("doc_id", "text_hash", "component_id", "component_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, fingerprints: int = 8) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from lexmill.llm.common import spread_join
 from lexmill.llm.components import connected_components
 from lexmill.llm.dealing import Routes, bundle, slices, unbundled
 from lexmill.llm.line_dedup import LineIndex, PerfectHash, dedup_lines
@@ -288,3 +289,37 @@ def test_relays_carry_what_is_sent():
     routes, messages = Routes(50, 10), [(k, bytes([k]) * k) for k in range(0, 50, 3)]
     assert routes.fan == 8 and routes.received(routes.sent(5, messages)) == messages and unbundled(bundle(messages)) == messages
     assert Routes(50, 50).fan == 1 and slices(np.array([0, 5, 2**48 - 1], np.uint64), 4, 48) == [(0, 0, 2), (3, 2, 3)]
+
+
+def test_very_dense_groups_keep_their_links(monkeypatch):
+    from lexmill.llm import simhash
+
+    rng = np.random.default_rng(9)
+    fps = np.unique(np.uint64(0x0F1E2D3C00000000) | rng.integers(0, 2**14, 1500).astype(np.uint64) | (rng.integers(0, 2, 1500).astype(np.uint64) << np.uint64(30)))
+    nodes = np.arange(len(fps) + 2).astype(np.int64)
+    fps = np.concatenate([fps, fps[:2]])
+    table = np.repeat(np.arange(len(COMBINATIONS)), len(fps))
+
+    def parts(links):
+        root = {int(n): int(n) for n in nodes}
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            assert (int(fps[a]) ^ int(fps[b])).bit_count() <= 3
+            root[top(a)] = top(b)
+        return sorted(min(m for m in root if top(m) == t) for t in {top(n) for n in root})
+
+    plain = parts(link_entries(table, np.tile(fps, len(COMBINATIONS)), np.tile(nodes, len(COMBINATIONS))))
+    monkeypatch.setattr(simhash, "DENSE", 20)
+    assert parts(link_entries(table, np.tile(fps, len(COMBINATIONS)), np.tile(nodes, len(COMBINATIONS)))) == plain
+
+
+def test_spread_join(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, -1).otherwise(F.col("id")).alias("k"), "id")
+    told = rows.groupBy("k").agg(F.count("*").alias("n"))
+    got = spread_join(rows, told, "k", 10)
+    assert got.columns == ["k", "id", "n"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(told, "k").collect()))
