@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -159,22 +160,54 @@ class Model:
 
     def spans(self, text: str) -> list[tuple[str, int, int, float, bool]]:
         """All spans, by kind as listed, then start."""
-        base = base_spans(text)
-        taken = sorted((i, j) for _, i, j in base)
-        more = [c for c in dict.fromkeys(candidates(text)) if not _meets(taken, c[1], c[2])]
-        chosen: list[tuple[str, int, int, float, bool]] = [(*b, 1.0, True) for b in base]
-        if more:
-            scores = self.trees.predict(np.array([features(text, *c) for c in more]))
-            own: list[tuple[int, int]] = []
-            for c, score in sorted(zip(more, scores.tolist(), strict=True), key=lambda x: (-x[1], x[0][1], -x[0][2], KINDS.index(x[0][0]))):
-                if score >= self.thresholds.get(c[0], 2.0) and not _meets(own, c[1], c[2]):
-                    own = sorted([*own, (c[1], c[2])])
+        return self.spans_of([text])[0]
+
+    def spans_of(self, texts: list[str]) -> list[list[tuple[str, int, int, float, bool]]]:
+        """The same for each text; the trees score all candidates at once."""
+        bases, candidates_of, rows = [], [], []
+        for text in texts:
+            base = base_spans(text)
+            taken = Taken(base)
+            more = [c for c in dict.fromkeys(candidates(text)) if not taken.meets(c[1], c[2])]
+            bases.append(base)
+            candidates_of.append(more)
+            rows += [features(text, *c) for c in more]
+        scores = self.trees.predict(np.array(rows)).tolist() if rows else []
+        out, at = [], 0
+        for base, more in zip(bases, candidates_of, strict=True):
+            chosen: list[tuple[str, int, int, float, bool]] = [(*b, 1.0, True) for b in base]
+            own = Taken([])
+            for c, score in sorted(zip(more, scores[at : at + len(more)], strict=True), key=lambda x: (-x[1], x[0][1], -x[0][2], KINDS.index(x[0][0]))):
+                if score >= self.thresholds.get(c[0], 2.0) and not own.meets(c[1], c[2]):
+                    own.add(c[1], c[2])
                     chosen.append((*c, float(score), False))
-        return sorted(chosen, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
+            at += len(more)
+            out.append(sorted(chosen, key=lambda x: (KINDS.index(x[0]), x[1], x[2])))
+        return out
 
 
-def _meets(taken: list[tuple[int, int]], start: int, stop: int) -> bool:
-    return any(i < stop and start < j for i, j in taken)
+class Taken:
+    """Places that spans cover, as ranges in order that don't overlap."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts: list[int] = []
+        self.stops: list[int] = []
+        for i, j in sorted((i, j) for _, i, j in spans):
+            if self.stops and i < self.stops[-1]:
+                self.stops[-1] = max(self.stops[-1], j)
+            else:
+                self.starts.append(i)
+                self.stops.append(j)
+
+    def meets(self, start: int, stop: int) -> bool:
+        k = bisect_right(self.stops, start)
+        return k < len(self.starts) and self.starts[k] < stop
+
+    def add(self, start: int, stop: int) -> None:
+        """Takes in a span that meets none."""
+        k = bisect_right(self.stops, start)
+        self.starts.insert(k, start)
+        self.stops.insert(k, stop)
 
 
 def _number(rng: random.Random, n: int, valid: bool | None = None) -> str:
@@ -282,7 +315,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            found = [model.spans(t) for t in texts]
+            found = model.spans_of(texts)
             spans = pa.array([[dict(zip(("kind", "start", "stop", "score", "base"), s, strict=True)) for s in x] for x in found], kind)
             out = {"doc_id": batch.column("doc_id"), "spans": spans}
             if redact:

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from lexmill.llm.boosting import BoostedTrees, threshold_for
 from lexmill.llm.decontaminate import contamination, decontaminate
 from lexmill.llm.license_scan import NOTICES, PHRASES, scan_licenses
-from lexmill.llm.pii import base_spans, candidates, examples, features, find_personal_data, fitted, luhn, redacted
+from lexmill.llm.pii import Taken, base_spans, candidates, examples, features, find_personal_data, fitted, luhn, redacted
 from tests.llm.conftest import ODD, PASSAGE
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -175,3 +176,26 @@ def test_benchmark_without_broadcast_on_whole_tables(spark):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     one, two = (sorted(map(tuple, contamination(docs, bench, broadcast_windows=n).select("doc_id", "n_words", "n_hit", F.array_join("items", ",")).collect())) for n in (1_000_000, 0))
     assert one == two and any(r[2] for r in one)
+
+
+def test_recall_on_the_tables_documents(spark):
+    """Secrets and decoys of the tables, told by patterns of their own: the trees have never seen these rows."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").where("text IS NOT NULL").collect()]
+    wanted = hit = decoys = false = 0
+    for text, spans in zip(texts, fitted().spans_of(texts), strict=True):
+        covered = {(i, j) for _, i, j, _, _ in spans}
+        secrets = [m.span(1) for m in re.finditer(r"(?i)token = \"([0-9a-f]{40})\"", text)]
+        wanted, hit = wanted + len(secrets), hit + sum(s in covered for s in secrets)
+        plain = [m.span() for m in re.finditer(r"(?<![0-9+(. -])[0-9]{16}(?! ?[0-9])", text) if not luhn(m.group())]
+        decoys, false = decoys + len(plain), false + sum(s in covered for s in plain)
+    assert wanted > 100 and hit >= 0.95 * wanted and decoys > 100 and false <= 0.05 * decoys
+
+
+def test_spans_of_many_candidates():
+    text = "phone " + ", ".join(f"{k:03d}-555-{k % 9999:04d}" for k in range(100, 999)) * 8
+    start = time.time()
+    got = fitted().spans(text)
+    assert time.time() - start < 20 and all(a[2] <= b[1] for a, b in zip(got, got[1:])) and fitted().spans_of([text[:200], ""]) == [fitted().spans(text[:200]), []]
+    taken = Taken([("x", 5, 9), ("y", 7, 12), ("z", 20, 22)])
+    plain = lambda i, j: any(a < j and i < b for a, b in ((5, 12), (20, 22)))
+    assert all(taken.meets(i, j) == plain(i, j) for i in range(25) for j in range(i + 1, 26))
