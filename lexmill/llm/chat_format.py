@@ -271,6 +271,14 @@ def format_records(records: DataFrame, record_col: str = "record", mappings: Seq
     return _with_text(records.withColumns({"layout": layout, "turns": turns}))
 
 
-def format_json(records: DataFrame, json_col: str, mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
-    """JSON records with columns fingerprint, layout, turns, rejected, formatted and loss_spans added."""
-    return _with_text(from_json(records, json_col, mappings))
+def format_json(records: DataFrame, json_col: str, mappings: Sequence[Mapping] = MAPPINGS, record_col: str | None = None) -> DataFrame:
+    """JSON records with columns fingerprint, layout, turns, rejected, formatted and loss_spans added.
+
+    Where the JSON is null and a column of typed records is named, the record's layout and turns are taken.
+    """
+    found = from_json(records, json_col, mappings)
+    if record_col:
+        layout, turns = from_typed(record_col, records.schema[record_col].dataType, mappings)
+        typed = F.col(json_col).isNull() & F.col(record_col).isNotNull() & layout.isNotNull()
+        found = found.withColumns({"layout": F.when(typed, layout).otherwise(F.col("layout")), "turns": F.when(typed, turns).otherwise(F.col("turns")), "rejected": F.when(~typed, F.col("rejected"))})
+    return _with_text(found)

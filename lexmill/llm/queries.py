@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,8 +49,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = let(rows, json=as_json(rows))
     extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.struct(F.lit(CONTROLS).alias("prompt"), F.lit(CONTROLS).alias("response")).alias("record"))
     columns = ("conv_id", "formatted", "loss_spans")
-    kinds = (format_json(rows.where("json IS NOT NULL").select("conv_id", "json"), "json"), format_records(rows.where("json IS NULL").select("conv_id", "record")), format_records(extra))
-    all_ = reduce(DataFrame.unionByName, (x.select(*columns) for x in kinds))
+    all_ = format_json(rows, "json", record_col="record").select(*columns).unionByName(format_records(extra).select(*columns))
     all_ = let(all_, turns=read_back(F.col("formatted")), loss=loss_text(F.col("formatted"), F.col("loss_spans")))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return all_.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))

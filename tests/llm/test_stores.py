@@ -245,6 +245,8 @@ def test_records_of_several_layouts_give_the_same_turns(spark):
     json = {r.conv_id: r for r in format_json(rows.where("json IS NOT NULL"), "json").collect()}
     assert {k: r.layout for k, r in json.items()} == {1: "prompt-response", 2: "system-prompt-response", 3: "messages"}
     assert all((r.formatted, r.loss_spans) == typed[k] for k, r in json.items()) and set(typed) == {1, 2, 3, 4}
+    either = {r.conv_id: r for r in format_json(rows, "json", record_col="record").collect()}
+    assert {k: (r.formatted, r.loss_spans) for k, r in either.items()} == typed and either[4].layout == "turns" and not any(r.rejected for r in either.values())
 
 
 def test_quality_columns_may_clash_and_rules_need_hits(spark, make):
