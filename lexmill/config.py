@@ -20,7 +20,7 @@ DEFAULTS: dict[str, Any] = {
     "user_dict_path": None,
     "sentence": {"max_sentence_length": 200, "extra_abbreviations": [], "handle_ellipsis": True, "eos_window": 5},
     "scene": {"target_seconds": 6.0, "base_words_per_second": 3.3, "speech_rate": 1.0, "min_words": 10, "max_words": 50, "allow_single_sentence_overflow": True},
-    "subtitle": {"min_chars_per_block": 8, "max_chars_per_block": 15, "time_calculation_method": "proportional"},
+    "subtitle": {"min_chars_per_block": 8, "max_chars_per_block": 15, "time_calculation_method": "proportional", "rules_path": None},
     "length": {"strategy": "B", "min_chars": 3, "max_chars": 15, "prefer_punctuation": True},
     "texttiling": {"min_text_length": 100, "sentence_window": 3, "step_size": 1, "depth_score_threshold": 0.3, "smoothing_passes": 0},
     "prompt": {"creative_level": 5, "max_length": 500, "default_platform": None},

@@ -41,6 +41,11 @@ def let(df: DataFrame, **values: Column) -> DataFrame:
     return df
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells rows: the id and 128 bits of the text. Rows of one key are equal in both, so they share results."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("a"), F.xxhash64(F.lit(1), F.col(text_col)).alias("b"))
+
+
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value computed once, inside an expression."""
     return F.transform(F.array(value), use)[0]

@@ -52,3 +52,8 @@ def sentences(text: Column, longest: int = 200, window: int = 5) -> Column:
     parts = nonempty(F.transform(F.split(marked, CUT, -1), lambda p: strip(unmask(p))))
     whole = F.flatten(F.transform(parts, lambda p: split_long(p, LONG, longest)))
     return F.when(is_blank(text), F.array().cast("array<string>")).otherwise(whole)
+
+
+def tokens(text: Column) -> Column:
+    """A token for each character: the segmentation without a dictionary of words."""
+    return nonempty(F.split(F.coalesce(text, F.lit("")), ""))

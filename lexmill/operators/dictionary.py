@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import ahocorasick
 import pandas as pd
@@ -21,6 +22,24 @@ def parse_phrases(lines: DataFrame, col: str = "value", separator: str | None =
     return lines.where((line != "") & ~line.startswith("#")).select(F.array_join(words, "").alias("phrase")).where(F.length("phrase") >= 2).distinct()
 
 
+def _finder(phrases: DataFrame, small: int):
+    """A function to make, in a task, a function from a text to its matches (start, end, phrase); null if the phrases are too many to carry."""
+    if phrases.limit(small + 1).count() > small:
+        return None
+    words = sorted(r["phrase"] for r in phrases.collect())
+
+    def make():
+        automaton = ahocorasick.Automaton()
+        for w in words:
+            automaton.add_word(w, w)
+        if not words:
+            return lambda text: []
+        automaton.make_automaton()
+        return lambda text: [(end + 1 - len(w), end + 1, w) for end, w in automaton.iter(text)] if text else []
+
+    return make
+
+
 def matches(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = 200_000) -> DataFrame:
     """(id, start, end, phrase): every occurrence, overlapping ones too.
 
@@ -28,20 +47,16 @@ def matches(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", text_co
     equality, with the rolling substrings of their lengths; phrases never meet all texts.
     """
     phrases = phrases.select("phrase").where(F.length("phrase") > 0).distinct()
-    if phrases.limit(small + 1).count() > small:
+    make = _finder(phrases, small)
+    if make is None:
         return _joined(docs, phrases, id_col, text_col)
-    words = sorted(r["phrase"] for r in phrases.collect())
     kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("phrase", T.StringType())]))
 
     @F.pandas_udf(kind)
     def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = ahocorasick.Automaton()
-        for w in words:
-            automaton.add_word(w, w)
-        if words:
-            automaton.make_automaton()
+        found = make()
         for batch in texts:
-            yield batch.map(lambda t: [{"start": end + 1 - len(w), "end": end + 1, "phrase": w} for end, w in automaton.iter(t)] if t and words else [])
+            yield batch.map(lambda t: [{"start": i, "end": j, "phrase": w} for i, j, w in found(t)])
 
     return docs.select(id_col, F.inline(find(F.col(text_col))))
 
@@ -97,17 +112,63 @@ def rebuild(segments: list[str], ranges: list[tuple[int, int]]) -> list[str]:
     return [p for p in out if p.strip()]
 
 
-def adjust(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", segments_col: str = "segments") -> DataFrame:
-    """Documents with their segments rebuilt around the longest matches. The id must be unique."""
-    texts = docs.select(id_col, F.array_join(segments_col, "").alias("text"))
-    ranges = merged_ranges(longest(matches(texts, phrases, id_col), id_col), id_col).groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_ranges"))
-    out = docs.join(ranges, id_col, "left").withColumn("_ranges", F.coalesce("_ranges", F.array().cast("array<struct<start:int,end:int>>")))
+def longest_of(found: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """What `longest` keeps of one text's matches, in order."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted({(i, j) for i, j, _ in found}, key=lambda m: (m[0], -m[1])):
+        if not out or start > out[-1][0] and end > out[-1][1]:
+            out.append((start, end))
+    return out
+
+
+def merged_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order that overlap or touch as one range."""
+    out: list[tuple[int, int]] = []
+    for start, end in spans:
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def _longest_by_row(docs: DataFrame, phrases: DataFrame, text_col: str) -> DataFrame:
+    """Adds `_m`, the longest matches in order, by joins: for phrases that are too many to carry. Rows are told by their text."""
+    keyed = docs.withColumn("_row", F.struct(F.xxhash64(text_col).alias("a"), F.xxhash64(F.lit(1), F.col(text_col)).alias("b")))
+    found = longest(matches(keyed.select("_row", text_col).dropDuplicates(["_row"]), phrases, "_row", text_col, 0), "_row")
+    found = found.groupBy(F.col("_row").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_m"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return keyed.join(found, keyed["_row"] == found["_key"], "left").drop("_row", "_key").withColumn("_m", F.coalesce("_m", none))
+
+
+def _with_longest(docs: DataFrame, phrases: DataFrame, text_col: str, segments_col: str, out_col: str, use, small: int) -> DataFrame:
+    """Adds use(text, segments, longest matches) of each row in Arrow batches; few phrases are matched in the same pass."""
+    phrases = phrases.select("phrase").where(F.length("phrase") > 0).distinct()
+    make = _finder(phrases, small)
+    kind = T.ArrayType(T.StringType())
+    if make is None:
+
+        @F.pandas_udf(kind)
+        def told(texts: pd.Series, segments: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+            rows = zip(texts, segments, starts, ends, strict=True)
+            return pd.Series([use(t or "", [] if s is None else list(s), list(zip(i.tolist(), j.tolist(), strict=True))) for t, s, i, j in rows], dtype=object)
+
+        out = _longest_by_row(docs, phrases, text_col)
+        return out.withColumn(out_col, told(text_col, segments_col, F.col("_m.start"), F.col("_m.end"))).drop("_m")
+
+    @F.pandas_udf(kind)
+    def found(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        find = make()
+        for texts, segments in batches:
+            yield pd.Series([use(t or "", [] if s is None else list(s), longest_of(find(t))) for t, s in zip(texts, segments, strict=True)], dtype=object)
+
+    return docs.withColumn(out_col, found(text_col, segments_col))
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def around(segments: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([rebuild(list(s), list(zip(i, j, strict=True))) for s, i, j in zip(segments, starts, ends, strict=True)])
 
-    return out.withColumn(segments_col, around(segments_col, F.col("_ranges.start"), F.col("_ranges.end"))).drop("_ranges")
+def adjust(docs: DataFrame, phrases: DataFrame, segments_col: str = "segments", small: int = 200_000) -> DataFrame:
+    """Documents with their segments rebuilt around the longest matches, each row by itself."""
+    whole = docs.withColumn("_whole", F.coalesce(F.array_join(segments_col, ""), F.lit("")))
+    return _with_longest(whole, phrases, "_whole", segments_col, segments_col, lambda text, segments, found: rebuild(segments, merged_of(found)), small).drop("_whole")
 
 
 def heaviest_path(text: str, segments: list[str], found: list[tuple[int, int]]) -> list[str]:
@@ -116,36 +177,25 @@ def heaviest_path(text: str, segments: list[str], found: list[tuple[int, int]])
     A character weighs 1, a given segment one more than its length, a phrase twice the square of its length. A path of
     one piece gives the segments back.
     """
-    n = len(text)
-    ahead: list[dict[int, float]] = [{i + 1: 1.0} for i in range(n)]
-    at = 0
-    for s in segments:
-        if s and at < n:
-            ahead[at][at + len(s)] = max(1.0 + len(s), ahead[at].get(at + len(s), 0.0))
-        at += len(s)
-    for i, j in found:
-        ahead[i][j] = max(2.0 * (j - i) ** 2, ahead[i].get(j, 0.0))
-    best = [(0.0, n)] * (n + 1)
-    for i in reversed(range(n)):
-        best[i] = max((w + best[j][0], j) for j, w in ahead[i].items() if j <= n)
-    if not n or best[0][1] == n:
-        return segments
-    out, at = [], 0
-    while at < n:
-        out.append(text[at : best[at][1]])
-        at = best[at][1]
-    return out
-
-
-def segment_by_weight(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", text_col: str = "text", segments_col: str = "segments") -> DataFrame:
-    """Adds `path`, the heaviest path over the text; the search runs in Arrow batches, matches come from the join."""
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def path(texts: pd.Series, segments: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        rows = zip(texts, segments, starts, ends, strict=True)
-        return pd.Series([heaviest_path(t or "", list(s), list(zip(i, j, strict=True))) for t, s, i, j in rows])
-
-    found = longest(matches(docs, phrases, id_col, text_col), id_col).groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_m"))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    out = docs.join(found, id_col, "left").withColumn("_m", F.coalesce("_m", none))
-    return out.withColumn("path", path(text_col, segments_col, F.col("_m.start"), F.col("_m.end"))).drop("_m")
+    weights = {(i, i + 1): 1.0 for i in range(len(text))}
+    stops = list(accumulate(map(len, segments)))
+    for s, stop in zip(segments, stops, strict=True):
+        span = (stop - len(s), stop)
+        if s and stop <= len(text):
+            weights[span] = max(weights.get(span, 0.0), 1.0 + len(s))
+    for span in found:
+        weights[span] = max(weights.get(span, 0.0), 2.0 * (span[1] - span[0]) ** 2)
+    # from the end on: the weight of the rest and where its first piece stops
+    rest = [(0.0, 0)] * len(text) + [(0.0, len(text))]
+    for (i, j), w in sorted(weights.items(), reverse=True):
+        rest[i] = max(rest[i], (w + rest[j][0], j))
+    cuts, at = [0], 0
+    while at < len(text):
+        at = rest[at][1]
+        cuts.append(at)
+    return segments if len(cuts) <= 2 else [text[i:j] for i, j in pairwise(cuts)]
+
+
+def segment_by_weight(docs: DataFrame, phrases: DataFrame, text_col: str = "text", segments_col: str = "segments", small: int = 200_000) -> DataFrame:
+    """Adds `path`, the heaviest path over the text, each row by itself."""
+    return _with_longest(docs, phrases, text_col, segments_col, "path", heaviest_path, small)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The header and style of the ASS format, platforms by language, styles by era.
-ASS_HEADER = "[Script Info]\nTitle: Smart Sentence Splitter Output\nScriptType: v4.00+\nCollisions: Normal\nPlayResX: 1920\nPlayResY: 1080\n\n"
+ASS_HEADER = "[Script Info]\nTitle: {title}\nScriptType: v4.00+\nCollisions: Normal\nPlayResX: 1920\nPlayResY: 1080\n\n"
 ASS_STYLE = (
     "[V4+ Styles]\nFormat: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, "
     "BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding\n"
@@ -58,13 +58,14 @@ def to_srt(docs: DataFrame, id_col: str = "doc_id", scenes_col: str = "scenes")
     return docs.select(id_col).join(body, id_col, "left").select(id_col, F.coalesce("body", F.lit("")).alias("srt"))
 
 
-def to_ass(docs: DataFrame, id_col: str = "doc_id", scenes_col: str = "scenes") -> DataFrame:
+def to_ass(docs: DataFrame, id_col: str = "doc_id", scenes_col: str = "scenes", title: str = "Subtitles") -> DataFrame:
     """(id, ass) for every document."""
+    header = ASS_HEADER.replace("{title}", title)
     text = F.replace(F.col("text"), F.lit("\n"), F.lit("\\N"))
     line = F.concat(F.lit("Dialogue: 0,"), ass_time(F.col("start")), F.lit(","), ass_time(F.col("stop")), F.lit(",Default,"), F.col("name"), F.lit(",0,0,0,,"), text)
     body = _joined(cues(docs, id_col, scenes_col), id_col, line, "\n")
-    full = "\n".join([ASS_HEADER, ASS_STYLE, "", ASS_EVENTS, ASS_FORMAT])
-    empty = ASS_HEADER + ASS_STYLE + f"\n\n{ASS_EVENTS}\n"
+    full = "\n".join([header, ASS_STYLE, "", ASS_EVENTS, ASS_FORMAT])
+    empty = header + ASS_STYLE + f"\n\n{ASS_EVENTS}\n"
     told = F.when(F.size(scenes_col) <= 0, empty).otherwise(F.concat(F.lit(full), F.coalesce(F.concat(F.lit("\n"), F.col("body")), F.lit(""))))
     return docs.join(body, id_col, "left").select(id_col, told.alias("ass"))
 

@@ -6,9 +6,10 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.functions.text import let
-from lexmill.schema import SCENES
+from lexmill.schema import SCENE, SCENES
 
 #: Characters after which scene text needs no full stop.
 TERMINAL = "。！？；.!?;\n"
@@ -57,17 +58,24 @@ def pack(sentences: Column, scene: dict[str, Any]) -> Column:
     ).cast(SCENES)
 
 
-def merge_short(scenes: Column, threshold: float) -> Column:
-    """Each scene takes in the ones behind it until its duration reaches the threshold; target words stay the first one's."""
-    start = F.struct(F.array().cast(SCENES).alias("done"), F.lit(None).cast(SCENES[6:-1]).alias("now"))
+def combined(a: Column, b: Column, fields: list[str]) -> Column:
+    """Two scenes as one: texts, durations, sentences and subtitles follow each other, characters are united in order, the
+    first setting and mood that aren't empty stay, and so do the first one's target words and numbers."""
+    first = lambda k: F.when(a[k] != "", a[k]).otherwise(b[k])
+    follow = lambda k: F.concat(a[k], b[k])
+    ways = {"text": follow, "subtitles": follow, "estimated_duration": lambda k: a[k] + b[k], "n_sentences": lambda k: a[k] + b[k], "characters": lambda k: F.array_union(a[k], b[k]), "setting": first, "mood": first}
+    return F.struct(*(ways.get(k, lambda k: a[k])(k).alias(k) for k in fields))
+
+
+def merge_short(scenes: Column, threshold: float, kind: str = SCENE) -> Column:
+    """Each scene (of the struct type `kind`) takes in the ones behind it until its duration reaches the threshold."""
+    fields = T.StructType.fromDDL(kind[len("struct<") : -1]).names
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("now"))
 
     def step(a: Column, s: Column) -> Column:
         now = a["now"]
-        both = F.struct(
-            now["segment_id"].alias("segment_id"), F.concat(now["text"], s["text"]).alias("text"), (now["estimated_duration"] + s["estimated_duration"]).alias("estimated_duration"),
-            now["target_words"].alias("target_words"), (now["n_sentences"] + s["n_sentences"]).alias("n_sentences"), now["first_sentence"].alias("first_sentence"))
         short = now.isNotNull() & (now["estimated_duration"] < threshold)
-        return F.struct(F.when(now.isNull() | short, a["done"]).otherwise(F.concat(a["done"], F.array(now))).alias("done"), F.when(short, both).otherwise(s).alias("now"))
+        return F.struct(F.when(now.isNull() | short, a["done"]).otherwise(F.concat(a["done"], F.array(now))).alias("done"), F.when(short, combined(now, s, fields)).otherwise(s).alias("now"))
 
     return F.aggregate(scenes, start, step, lambda a: F.when(a["now"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmill.config import subtitle_bounds
+from lexmill.functions.block_rules import Rules
 from lexmill.functions.blocks import Cutter
 from lexmill.functions.text import let
 from lexmill.schema import SUBTITLES
@@ -31,9 +32,9 @@ def times(blocks: Column, duration: Column, parent: Column, method: str = "propo
     return F.aggregate(blocks, start, step, lambda a: a["done"])
 
 
-def cut_texts(low: int, high: int):
+def cut_texts(low: int, high: int, rules: Rules | None = None):
     """An Arrow function from texts of scenes to their blocks."""
-    cutter = Cutter(low, high)
+    cutter = Cutter(low, high, rules or Rules())
 
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
     def cut(scenes: pd.Series) -> pd.Series:
@@ -45,7 +46,8 @@ def cut_texts(low: int, high: int):
 def add_subtitles(docs: DataFrame, config: dict, scenes_col: str = "scenes") -> DataFrame:
     """Adds a field `subtitles` to the scenes; one Arrow pass over the texts, times in expressions."""
     low, high = subtitle_bounds(config)
-    out = let(docs, _blocks=cut_texts(low, high)(F.transform(F.col(scenes_col), lambda s: s["text"])))
+    rules = Rules.load(config["subtitle"]["rules_path"]) if config["subtitle"]["rules_path"] else None
+    out = let(docs, _blocks=cut_texts(low, high, rules)(F.transform(F.col(scenes_col), lambda s: s["text"])))
     method = config["subtitle"]["time_calculation_method"]
     timed = F.zip_with(F.col(scenes_col), F.col("_blocks"), lambda s, b: s.withField("subtitles", times(b, s["estimated_duration"], s["segment_id"], method)))
     return out.withColumn("_timed", timed).drop(scenes_col, "_blocks").withColumnRenamed("_timed", scenes_col)

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from itertools import pairwise
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lexmill.functions.text import let
 from lexmill.operators.sentences import records
 
 #: Characters that don't count as terms.
@@ -81,11 +88,40 @@ def boundaries(rows: DataFrame, id_col: str = "doc_id", window: int = 3, step: i
     return found.join(near, [id_col, "index"]).select(id_col, "index", "position", "depth_score", "confidence", right30.alias("text_before"), F.substring("after", 1, 30).alias("text_after"))
 
 
-def mark_topics(docs: DataFrame, id_col: str = "doc_id", texts_col: str = "texts", shortest: int = 100, text_col: str = "text", **tiling) -> DataFrame:
-    """Adds `topic_starts`, the indexes of sentences that start a topic; short texts have none. The id must be unique."""
-    rows = docs.where(F.length(text_col) >= shortest).select(id_col, F.posexplode(texts_col).alias("index", "text"))
-    starts = boundaries(rows, id_col, **tiling).groupBy(id_col).agg(F.sort_array(F.collect_list("index")).alias("topic_starts"))
-    return docs.join(starts, id_col, "left").withColumn("topic_starts", F.coalesce("topic_starts", F.array().cast("array<int>")))
+def starts_of(counts: list[Counter[str]], window: int = 3, step: int | None = None, threshold: float = 0.15, smoothing: int = 0) -> list[int]:
+    """Indexes of the sentences that start a topic, of one document's term counts by sentence: what `boundaries` finds, row by row."""
+    step = step or max(1, window // 2)
+    if len(counts) < 2 * window:
+        return []
+    places = range(0, len(counts) - window + 1, step)
+    tiles_ = [sum(counts[k : k + window], Counter()) for k in places]
+    squares = [sum(n * n for n in t.values()) for t in tiles_]
+    sims = []
+    for k, (a, b) in enumerate(pairwise(tiles_)):
+        a, b = (a, b) if len(a) <= len(b) else (b, a)
+        dot = sum(n * b[t] for t, n in a.items() if t in b)
+        sims.append(dot / (math.sqrt(squares[k]) * math.sqrt(squares[k + 1])) if squares[k] and squares[k + 1] else 0.0)
+    for _ in range(max(0, smoothing)):
+        sims = [(sims[k - 1] + 2 * c + sims[k + 1]) / 4 if 0 < k < len(sims) - 1 else c for k, c in enumerate(sims)]
+    deep = [max(0.0, sims[k - 1] + sims[k + 1] - 2 * c) if 0 < k < len(sims) - 1 else 0.0 for k, c in enumerate(sims)]
+    least = max(threshold, 0.3 * max(deep, default=0.0))
+    return [places[k] for k in range(1, len(deep) - 1) if deep[k] > least and deep[k] >= deep[k - 1] and deep[k] >= deep[k + 1]]
+
+
+def mark_topics(docs: DataFrame, texts_col: str = "texts", shortest: int = 100, text_col: str = "text", **tiling) -> DataFrame:
+    """Adds `topic_starts`, the indexes of sentences that start a topic; short texts have none.
+
+    Terms are expressions; tiles, similarities and peaks are found inside the row in Arrow batches, so nothing is shuffled
+    and rows need no ids.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def starts(sentences: pd.Series) -> pd.Series:
+        return pd.Series([starts_of([Counter(s) for s in x], **tiling) if x is not None else [] for x in sentences], dtype=object)
+
+    long_ = F.coalesce(F.length(text_col) >= shortest, F.lit(False))
+    counted = let(docs, _terms=F.when(long_, F.transform(texts_col, terms)))
+    return let(counted, topic_starts=starts(F.col("_terms"))).drop("_terms")
 
 
 def semantic_records(texts: Column, language: Column, starts: Column) -> Column:

@@ -112,7 +112,7 @@ _PLATFORM = "CASE language WHEN 'en' THEN 'stable_diffusion' ELSE 'midjourney' E
 _STATUS = "CASE WHEN length(text) < 3 THEN 'too_short' WHEN length(text) > 15 THEN 'too_long' ELSE 'ok' END"
 _TIER = "CASE WHEN sum(length(text)) / count(*) > 1 AND sum(length(text)) / count(*) < 1000 THEN 'tier3_rule' ELSE 'tier3_rule_fallback' END"
 _q = lambda text: text.replace("'", "''")
-_ASS = "\n".join([exports.ASS_HEADER, exports.ASS_STYLE, "", exports.ASS_EVENTS, exports.ASS_FORMAT])
+_ASS = "\n".join([exports.ASS_HEADER.replace("{title}", "Subtitles"), exports.ASS_STYLE, "", exports.ASS_EVENTS, exports.ASS_FORMAT])
 
 #: Scenes of a whole result: separator lines go before sentences are packed.
 _KEPT = SCENES.replace("FROM sent),", r"FROM sent WHERE NOT regexp_matches(text, '^[\s\-—*=~•]{2,}$')),", 1)

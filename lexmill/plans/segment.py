@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill import config as settings
-from lexmill.functions.text import is_blank, let
-from lexmill.operators import era, length, scenes, script, sentences, subtitles, topics
+from lexmill.functions.text import is_blank, let, row_key
+from lexmill.operators import dictionary, era, length, scenes, script, sentences, subtitles, topics
 from lexmill.operators.language import detect, paragraphs, route
-from lexmill.operators.model_tier import Model, split_with_model, with_model_tier
+from lexmill.operators.model_tier import Model, with_model_tier
 from lexmill.schema import SENTENCES
 
 
@@ -40,12 +40,12 @@ def split(docs: DataFrame, config: dict[str, Any], model: Model | None = None) -
     topical = (config["enable_topic_segmentation"] or config["mode"] == "precise") and tier <= 2
     if topical:
         t = config["texttiling"]
-        eligible = out.withColumn("texts", F.when(F.col("language") == "ja", F.array().cast("array<string>")).otherwise(F.col("texts")))
-        marked = topics.mark_topics(eligible, shortest=t["min_text_length"], window=t["sentence_window"], step=t["step_size"], threshold=t["depth_score_threshold"], smoothing=t["smoothing_passes"]).select("doc_id", "topic_starts")
+        eligible = out.withColumn("_rows", F.when(F.col("language") == "ja", F.array().cast("array<string>")).otherwise(F.col("texts")))
+        out = topics.mark_topics(eligible, "_rows", t["min_text_length"], window=t["sentence_window"], step=t["step_size"], threshold=t["depth_score_threshold"], smoothing=t["smoothing_passes"]).drop("_rows")
         valid = sentences.is_valid(F.col("texts")) & (F.col("language") != "ja")
-        out = out.join(marked, "doc_id", "left").withColumn("tier_used", F.when(valid & ~blank, "tier2_semantic").otherwise(F.col("tier_used")))
+        out = out.withColumn("tier_used", F.when(valid & ~blank, "tier2_semantic").otherwise(F.col("tier_used")))
     if config["enable_llm"] and model is not None and tier <= 1:
-        out = with_model_tier(out, split_with_model(docs, model, language=config["language"]))
+        out = with_model_tier(out, model, language=config["language"])
     out = out.withColumn("language", F.when(blank, "zh").otherwise(F.col("language")))
     return _records(out, topical).drop("texts", "topic_starts")
 
@@ -55,23 +55,24 @@ def by_chunks(docs: DataFrame, config: dict[str, Any], model: Model | None = Non
 
     The language is the whole text's, the tier the last chunk's; sentences keep their chunk's language.
     """
-    pieces = sentences.chunked(docs, config["max_input_length"])
-    done = split(pieces.withColumn("whole", F.col("doc_id")).withColumn("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string"))), config, model)
-    gathered = done.groupBy(F.col("whole").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("chunk_no", "tier_used", "sentences"))).alias("c"))
+    keyed = docs.withColumn("_row", row_key())
+    pieces = sentences.chunked(keyed, config["max_input_length"], "_row")
+    done = split(pieces, config, model)
+    gathered = done.groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("chunk_no", "tier_used", "sentences"))).alias("c"))
     flat = F.transform(F.flatten(F.transform("c", lambda c: c["sentences"])), lambda s, i: s.withField("index", i)).cast(SENTENCES)
-    found = gathered.select("doc_id", F.element_at("c", -1)["tier_used"].alias("tier_used"), flat.alias("sentences"))
+    found = gathered.select(F.col("_row").alias("_key"), F.element_at("c", -1)["tier_used"].alias("tier_used"), flat.alias("sentences"))
     none = F.array().cast(SENTENCES)
-    told = detect(docs, "text", config["language"]).drop("confidence").withColumn("language", F.when(is_blank(F.col("text")), "zh").otherwise(F.col("language")))
-    return told.join(found, "doc_id", "left").withColumns({"tier_used": F.coalesce("tier_used", F.lit("tier3_rule")), "sentences": F.coalesce("sentences", none)})
+    told = detect(keyed, "text", config["language"]).drop("confidence").withColumn("language", F.when(is_blank(F.col("text")), "zh").otherwise(F.col("language")))
+    return told.join(found, told["_row"].eqNullSafe(found["_key"]), "left").drop("_row", "_key").withColumns({"tier_used": F.coalesce("tier_used", F.lit("tier3_rule")), "sentences": F.coalesce("sentences", none)})
 
 
 def by_paragraphs(docs: DataFrame, config: dict[str, Any], model: Model | None = None) -> DataFrame:
-    """(doc_id, scenes): scenes of each line for itself, short ones merged, numbered through the document."""
-    lines = paragraphs(docs, separator="\n").where(~sentences.is_separator(F.col("text"))).select(F.col("doc_id").alias("whole"), "paragraph", "text")
-    done = split(lines.withColumn("doc_id", F.concat_ws(":", F.col("whole").cast("string"), F.col("paragraph").cast("string"))), config, model)
+    """(key, scenes): scenes of each line for itself, short ones merged, numbered through the document, by `row_key`."""
+    lines = paragraphs(docs.select(row_key().alias("key"), "text"), "key", separator="\n").where(~sentences.is_separator(F.col("text"))).select("key", "paragraph", "text")
+    done = split(lines, config, model)
     packed = let(scenes.pack_documents(done, config["scene"]), merged=scenes.merge_short(F.col("scenes"), config["scene"]["target_seconds"]))
-    gathered = packed.groupBy(F.col("whole").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("paragraph", "merged"))).alias("p"))
-    return gathered.select("doc_id", scenes.renumber(F.flatten(F.transform("p", lambda p: p["merged"]))).alias("scenes"))
+    gathered = packed.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("paragraph", "merged"))).alias("p"))
+    return gathered.select("key", scenes.renumber(F.flatten(F.transform("p", lambda p: p["merged"]))).alias("scenes"))
 
 
 def segment(docs: DataFrame, config: dict[str, Any] | None = None, model: Model | None = None, with_subtitles: bool = True) -> DataFrame:
@@ -87,7 +88,9 @@ def segment(docs: DataFrame, config: dict[str, Any] | None = None, model: Model
     out = controlled.withColumn("sentences", sentences.without_separators(F.col("_s"))).drop("_s")
     if config["enable_paragraph_aware"]:
         none = F.array().cast("array<struct<segment_id:int,text:string,estimated_duration:double,target_words:int,n_sentences:int,first_sentence:int>>")
-        out = out.join(by_paragraphs(docs, config, model), "doc_id", "left").withColumn("scenes", F.coalesce("scenes", none))
+        lines = by_paragraphs(docs, config, model)
+        out = out.withColumn("_row", row_key())
+        out = out.join(lines, out["_row"].eqNullSafe(lines["key"]), "left").drop("_row", "key").withColumn("scenes", F.coalesce("scenes", none))
     else:
         out = scenes.pack_documents(out, config["scene"])
     if config["enable_script_analysis"]:
@@ -97,9 +100,19 @@ def segment(docs: DataFrame, config: dict[str, Any] | None = None, model: Model
         out = subtitles.add_subtitles(out, config)
     if config["enable_era"]:
         out = out.withColumn("scenes", era.add_era(F.col("scenes"), F.col("language")))
+    if config["user_dict_path"]:
+        out = around_phrases(out, dictionary.parse_phrases(docs.sparkSession.read.text(config["user_dict_path"])))
     return scenes.totals(out)
 
 
+def around_phrases(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Sentences rebuilt around a user's phrases where that changes their number; scenes stay."""
+    texts = F.transform("sentences", lambda s: s["text"])
+    out = dictionary.adjust(let(docs, _texts=texts), phrases, segments_col="_texts")
+    made = sentences.records(F.col("_texts"), F.col("language"), F.col("tier_used"))
+    return let(out, _s=F.when(F.size("_texts") != F.size("sentences"), made).otherwise(F.col("sentences"))).drop("sentences", "_texts").withColumnRenamed("_s", "sentences")
+
+
 def to_json(docs: DataFrame) -> DataFrame:
     """(doc_id, json): a document's result as one JSON text, durations with two decimals, nulls kept."""
     rounded = F.transform("scenes", lambda s: s.withField("estimated_duration", F.bround(s["estimated_duration"], 2)))

@@ -150,7 +150,7 @@ def scene_merge_short(spark, sf_dir):
 
 
 def paragraph_scenes(spark, sf_dir):
-    return plan.by_paragraphs(_docs(spark, sf_dir), SETTINGS).select("doc_id", F.inline("scenes")).select("doc_id", "segment_id", "text")
+    return plan.by_paragraphs(_docs(spark, sf_dir), SETTINGS).select(F.col("key.id").alias("doc_id"), F.inline("scenes")).select("doc_id", "segment_id", "text")
 
 
 def tt_terms(spark, sf_dir):

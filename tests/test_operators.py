@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill import config
-from lexmill.operators import dictionary, era, exports, model_tier, script, subtitles, topics
+from lexmill.functions.block_rules import Rules
+from lexmill.operators import dictionary, era, exports, model_tier, scenes, script, subtitles, topics
 from lexmill.plans import segment as plan
 from lexmill.sources import io
 from lexmill.streaming import chunks
@@ -125,3 +126,90 @@ def test_model_reaches_chunks_and_paragraphs(spark):
     assert cut.tier_used == "tier1_llm" and {s.text for s in cut.sentences} == {"From the model."}
     lines = plan.segment(docs, {**over, "enable_paragraph_aware": True}, one, with_subtitles=False).first()
     assert all("From the model." in s.text for s in lines.scenes)
+
+
+def test_rows_that_share_an_id_are_segmented_apart(spark):
+    long_ = "One two three. Four five six. " * 4
+    rows = [(1, long_), (1, long_), (1, "Seven eight. Nine ten.\nEleven."), (None, long_), (None, None), (2, "短句。好的。")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    alone = lambda over: sorted(str((i, [s.text for s in r.sentences], [s.text for s in r.scenes])) for i, t in rows for r in plan.segment(spark.createDataFrame([(i, t)], "doc_id long, text string"), over, with_subtitles=False).collect())
+    for over in ({"max_input_length": 40}, {"enable_paragraph_aware": True}, {"mode": "precise"}):
+        got = plan.segment(docs, over, with_subtitles=False).collect()
+        assert sorted(str((r.doc_id, [s.text for s in r.sentences], [s.text for s in r.scenes])) for r in got) == alone(over)
+
+
+def test_topics_in_the_row_are_those_of_the_tables(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = [[" ".join(rng.choice("cats purr softly rockets burn fuel the".split()) + str((k // 7) % 2) * (j % 2) for j in range(6)) for k in range(rng.randint(0, 60))] for _ in range(25)]
+    docs = spark.createDataFrame([(i, t, "x" * 200) for i, t in enumerate(texts)], "doc_id long, texts array<string>, text string")
+    rows = docs.select("doc_id", F.posexplode("texts").alias("index", "text"))
+    for more in ({}, {"smoothing": 1, "threshold": 0.05}, {"window": 4, "step": 2, "threshold": 0.01}):
+        told = {r.doc_id: r.topic_starts for r in topics.mark_topics(docs, **more).collect()}
+        table = {}
+        for r in topics.boundaries(rows, **more).collect():
+            table.setdefault(r.doc_id, []).append(r["index"])
+        assert {k: v for k, v in told.items() if v} == {k: sorted(v) for k, v in table.items()} and any(told.values())
+    assert [r.topic_starts for r in topics.mark_topics(docs.withColumn("text", F.lit("short"))).collect()] == [[]] * 25
+
+
+def test_user_dictionary(spark, tmp_path):
+    path = tmp_path / "words.txt"
+    path.write_text("# words\n真好。小明\nx\n水/n\n", encoding="utf-8")
+    docs = io.from_texts(spark, ["今天天气真好。小明走进超市。", "没有词。好的。", None])
+    got = {r.doc_id: r for r in plan.segment(docs, {"user_dict_path": str(path)}, with_subtitles=False).collect()}
+    plain = {r.doc_id: r for r in plan.segment(docs, with_subtitles=False).collect()}
+    assert [s.text for s in got[0].sentences] == ["今天天气", "真好。小明", "走进超市。"] and [s["index"] for s in got[0].sentences] == [0, 1, 2]
+    assert got[0].scenes == plain[0].scenes and got[1].sentences == plain[1].sentences and got[2].sentences == []
+    from lexmill.operators.dictionary import parse_phrases
+
+    assert {r.phrase for r in parse_phrases(spark.createDataFrame([("a b/n c",), ("#x",), (" ",), ("q",)], "value string")).collect()} == {"abc"}
+
+
+def test_many_phrases_are_joined_and_give_the_same(spark):
+    texts = ["研究生制度研究", "abcabcab", "", None, "xaaaa", "abcabcab"]
+    docs = io.from_texts(spark, texts).withColumn("segments", F.filter(F.split(F.coalesce("text", F.lit("")), "(?<=b)", -1), lambda s: s != ""))
+    phrases = spark.createDataFrame([(w,) for w in ["研", "研究", "研究生", "abc", "bca", "ab", "aa", "aaa"]], "phrase string")
+    for use in (dictionary.adjust, dictionary.segment_by_weight):
+        few, many = (sorted(map(str, use(docs, phrases, small=n).collect())) for n in (100, 2))
+        assert few == many and len(few) == len(texts)
+    found = [(i, i + len(w), w) for w in ("ab", "abc", "bca", "ca") for i in range(8) if "abcabcab".startswith(w, i)]
+    assert dictionary.longest_of(found) == [(0, 3), (1, 4), (3, 6), (4, 7), (6, 8)] and dictionary.merged_of([(0, 2), (2, 3), (5, 6)]) == [(0, 3), (5, 6)]
+
+
+def test_heaviest_path_against_all_paths():
+    import itertools
+    import random
+
+    rng = random.Random(12)
+    for _ in range(300):
+        text = "".join(rng.choice("abc") for _ in range(rng.randint(1, 8)))
+        cuts = sorted({0, len(text), *(rng.randint(0, len(text)) for _ in range(2))})
+        segments = [text[i:j] for i, j in itertools.pairwise(cuts)]
+        found = list({(i, min(len(text), i + rng.randint(1, 3))) for i in (rng.randrange(len(text)) for _ in range(3))})
+        weight = lambda i, j: max([1.0] * (j == i + 1) + [1.0 + j - i] * ((i, j) in set(itertools.pairwise(cuts))) + [2.0 * (j - i) ** 2] * ((i, j) in found) or [float("-inf")])  # noqa: E731, B023
+        paths = [sorted({0, len(text), *c}) for n in range(len(text)) for c in itertools.combinations(range(1, len(text)), n)]
+        best = max(paths, key=lambda p: (sum(weight(i, j) for i, j in itertools.pairwise(p)), p))
+        expected = [text[i:j] for i, j in itertools.pairwise(best)]
+        assert dictionary.heaviest_path(text, segments, found) == (segments if len(expected) == 1 else expected)
+
+
+def test_merged_scenes_keep_all_their_fields(spark):
+    kind = "struct<segment_id:int,text:string,estimated_duration:double,target_words:int,characters:array<string>,setting:string,mood:string,subtitles:array<string>>"
+    rows = [(0, "a", 1.0, 3, ["x"], "", "", ["s1"]), (1, "b", 1.5, 4, ["y", "x"], "park", "", ["s2"]), (2, "c", 9.0, 5, [], "hall", "calm", []), (3, "d", 1.0, 1, [], "", "", [])]
+    got = spark.createDataFrame([(rows,)], f"scenes array<{kind}>").select(scenes.merge_short(F.col("scenes"), 2.0, kind).alias("m")).first().m
+    assert [tuple(s) for s in got] == [(0, "ab", 2.5, 3, ["x", "y"], "park", "", ["s1", "s2"]), rows[2], rows[3]]
+
+
+def test_rules_can_be_loaded(spark, tmp_path):
+    path = tmp_path / "rules.json"
+    path.write_text('{"phrases": ["农耕社会"], "marks": "。"}', encoding="utf-8")
+    rules = Rules.load(path)
+    assert rules.phrases == ("农耕社会",) and rules.marks == "。" and rules.blanks == Rules().blanks
+    docs = io.from_texts(spark, ["一二三四五六七八九，甲乙丙丁戊己庚辛。"])
+    blocks = lambda over: [s.text for s in plan.segment(docs, over).first().scenes[0].subtitles]
+    assert blocks({}) == ["一二三四五六七八九", "甲乙丙丁戊己庚辛"] and "，" in "".join(blocks({"subtitle": {"rules_path": str(path)}}))
+    path.write_text('{"other": 1}')
+    with pytest.raises(ValueError):
+        Rules.load(path)
