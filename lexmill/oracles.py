@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from lexmill.operators import exports
 from lexmill.operators.english import ABBREVIATIONS
 
@@ -181,3 +183,127 @@ SELECT doc_id, CASE WHEN k IN (1, 2, 5) THEN 'modern' WHEN k = 7 THEN 'mixed' EL
 c AS (SELECT doc_id, term, count(*) AS n, min(i) AS first FROM t WHERE length(term) >= 2 GROUP BY ALL)
 SELECT doc_id, CAST(r AS INTEGER) AS rank, term, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS r FROM c) WHERE r <= 10""",
 }
+
+
+def _again(sql: str, names: tuple[str, ...], suffix: str) -> str:
+    """The same table expressions under other names."""
+    for name in names:
+        sql = re.sub(rf"\b{name}\b", name + suffix, sql)
+    return sql
+
+
+#: Scenes of the target 39 beside those of 19.
+_LONGER = _again(_KEPT[_KEPT.index("walk(doc_id") :].replace("<= 19", "<= 39"), ("walk", "placed", "scenes"), "39")
+
+_PHRASES = rf"""p AS (SELECT DISTINCT phrase FROM (SELECT string_split({strip('text')}, ' ')[-1] AS phrase FROM benchmark UNION ALL SELECT unnest(['the', 'then', 'hen', 'ation', 'tion'])) WHERE length(phrase) >= 2),
+ls AS (SELECT DISTINCT length(phrase) AS n FROM p),
+part AS (SELECT doc_id, 200 * k AS base, substr(text, 200 * k + 1, 199 + (SELECT max(n) FROM ls)) AS t, least(200, length(text) - 200 * k) AS own FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 200.0) AS BIGINT))) AS k FROM documents)),
+spot AS (SELECT doc_id, base + i AS start, n, substr(t, CAST(i + 1 AS BIGINT), n) AS phrase FROM (SELECT doc_id, base, t, unnest(range(0, own)) AS i FROM part), ls),
+found AS (SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(start + n AS INTEGER) AS "end", spot.phrase FROM spot JOIN p ON p.phrase = spot.phrase AND length(p.phrase) = n),
+top AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY doc_id, start ORDER BY "end" DESC) = 1),
+long AS (SELECT * FROM top QUALIFY coalesce(max("end") OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) < "end")"""
+
+
+def _merged(source: str) -> str:
+    return f"""SELECT doc_id, min(start) AS start, max("end") AS "end" FROM (
+  SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM (
+    SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM {source})) GROUP BY doc_id, g"""
+
+
+_SPLIT = rf"""WITH {_PHRASES}, range_ AS ({_merged("long")}),
+word AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(0, len(string_split(text, ' ')))) AS k FROM documents),
+edge AS (SELECT doc_id, CAST(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM word),
+outer_ AS (SELECT edge.doc_id, e FROM edge ASOF LEFT JOIN range_ ON range_.doc_id = edge.doc_id AND range_.start < e WHERE range_."end" IS NULL OR e >= range_."end"),
+cut AS (SELECT DISTINCT doc_id, e FROM (SELECT doc_id, 0 AS e FROM documents UNION ALL SELECT doc_id, length(text) FROM documents UNION ALL SELECT * FROM outer_ UNION ALL SELECT doc_id, start FROM range_ UNION ALL SELECT doc_id, "end" FROM range_)),
+piece AS (SELECT doc_id, e, lead(e) OVER (PARTITION BY doc_id ORDER BY e) AS f FROM cut),
+segment AS (SELECT piece.doc_id, e, substr(text, e + 1, f - e) AS segment, EXISTS (SELECT 1 FROM range_ WHERE range_.doc_id = piece.doc_id) AS has FROM piece JOIN documents d ON d.doc_id = piece.doc_id WHERE f <= length(text) AND e < f)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY e) - 1 AS INTEGER) AS position, segment FROM segment WHERE NOT has OR {strip("segment")} <> ''"""
+
+
+def _chunks(most: int) -> str:
+    """(doc_id, chunk_no, chunks_total, text) of texts cut into chunks, from `src`."""
+    return rf"""run0 AS (SELECT doc_id, unnest(rs) AS r, unnest(range(0, len(rs))) AS a FROM (SELECT doc_id, string_split(regexp_replace(text, '([。！？；!?.\n…])', '\1' || chr(1), 'g'), chr(1)) AS rs FROM src WHERE length(text) > {most})),
+run1 AS (SELECT doc_id, a, b, substr(r, {most} * b + 1, {most}) AS r FROM (SELECT doc_id, a, r, unnest(range(0, CAST(ceil(length(r) / {most}.0) AS BIGINT))) AS b FROM run0 WHERE r <> '')),
+run AS (SELECT doc_id, r, row_number() OVER (PARTITION BY doc_id ORDER BY a, b) AS i FROM run1),
+pack(doc_id, i, c, acc) AS (
+  SELECT doc_id, i, 0, length(r) FROM run WHERE i = 1
+  UNION ALL
+  SELECT run.doc_id, run.i, CASE WHEN acc + length(r) <= {most} THEN c ELSE c + 1 END, CASE WHEN acc + length(r) <= {most} THEN acc + length(r) ELSE length(r) END FROM pack JOIN run ON run.doc_id = pack.doc_id AND run.i = pack.i + 1),
+chunk0 AS (SELECT pack.doc_id, c, string_agg(r, '' ORDER BY pack.i) AS t FROM pack JOIN run ON run.doc_id = pack.doc_id AND run.i = pack.i GROUP BY pack.doc_id, c
+  UNION ALL SELECT doc_id, 0, text FROM src WHERE length(text) <= {most}),
+chunk AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY c) - 1 AS INTEGER) AS chunk_no, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS chunks_total, t AS text FROM (SELECT doc_id, c, {strip("t")} AS t FROM chunk0) WHERE t <> '')"""
+
+
+_SRC = "src AS (SELECT * FROM documents)"
+#: Chunks are the documents of the sentences' SQL; scenes are packed through all chunks of a text, whose language is its own.
+_CHUNKED = (
+    f"{_WITH}{_SRC},{_chunks(5000)}, whole AS (SELECT * FROM src), documents AS (SELECT doc_id * 100000 + chunk_no AS doc_id, text FROM chunk),"
+    + _KEPT.replace("clean AS (SELECT doc_id, language, text, row_number() OVER (PARTITION BY doc_id ORDER BY index) AS i", "clean AS (SELECT doc_id // 100000 AS doc_id, language, text, row_number() OVER (PARTITION BY doc_id // 100000 ORDER BY doc_id, index) AS i")
+    + ","
+    + _again(LANG.replace("FROM documents", "FROM whole"), ("lc", "lang"), "_w")
+    + " SELECT lang_w.doc_id, lang_w.language, coalesce(m, 0) AS n_sentences, CAST(coalesce(n, 0) AS INTEGER) AS total_scenes FROM lang_w LEFT JOIN (SELECT doc_id, count(*) AS n FROM scenes GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS m FROM clean GROUP BY doc_id) USING (doc_id)"
+)
+
+
+def _shortest(source: str) -> str:
+    """Scenes that take in those behind them until they last six seconds."""
+    return f"""step(doc_id, segment_id, g, d) AS (
+  SELECT doc_id, segment_id, 0, duration FROM {source} WHERE segment_id = 0
+  UNION ALL
+  SELECT s.doc_id, s.segment_id, CASE WHEN d < 6.0 THEN g ELSE g + 1 END, CASE WHEN d < 6.0 THEN d + duration ELSE duration END FROM step JOIN {source} s ON s.doc_id = step.doc_id AND s.segment_id = step.segment_id + 1),
+merged AS (SELECT step.doc_id, g, string_agg(text, '' ORDER BY step.segment_id) AS text, CAST(sum(n_sentences) AS INTEGER) AS n_sentences FROM step JOIN {source} s ON s.doc_id = step.doc_id AND s.segment_id = step.segment_id GROUP BY step.doc_id, g)"""
+
+
+#: Lines are the documents of the scenes' SQL.
+_LINES = (
+    rf"{_WITH}{_SRC}, line AS (SELECT doc_id, CAST(unnest(range(0, len(ls))) AS BIGINT) AS k, unnest(ls) AS text FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip('x')}), lambda x: x <> '') AS ls FROM src)),"
+    + r" documents AS (SELECT doc_id * 100000 + k AS doc_id, text FROM line WHERE NOT regexp_matches(text, '^[\s\-—*=~•]{2,}$')),"
+    + SCENES
+    + f",{_shortest('scenes')} SELECT doc_id // 100000 AS doc_id, CAST(row_number() OVER (PARTITION BY doc_id // 100000 ORDER BY doc_id, g) - 1 AS INTEGER) AS segment_id, text FROM merged"
+)
+
+_TOKENS = r"""tok AS (SELECT doc_id, CAST(unnest(range(0, len(ws))) AS BIGINT) AS index, unnest(ws) AS term, len(ws) AS n FROM (SELECT doc_id, list_transform(list_filter(string_split(text, ' '), lambda w: w <> ''), lambda w: lower(w)) AS ws FROM documents)),
+place AS (SELECT *, coalesce(sum(length(term) + 1) OVER (PARTITION BY doc_id ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position FROM tok),
+tile AS (SELECT doc_id, unnest(range(0, n - 9, 5)) AS tile FROM (SELECT DISTINCT doc_id, n FROM tok WHERE n >= 20)),
+counts AS (SELECT tile.doc_id, tile, term, count(*) AS n FROM tile JOIN tok ON tok.doc_id = tile.doc_id AND tok.index BETWEEN tile AND tile + 9 GROUP BY ALL),
+norm AS (SELECT doc_id, tile, sum(n * n) AS q FROM counts GROUP BY ALL),
+dots AS (SELECT a.doc_id, a.tile, sum(a.n * b.n) AS dot FROM counts a JOIN counts b ON b.doc_id = a.doc_id AND b.tile = a.tile + 5 AND b.term = a.term GROUP BY ALL),
+sims AS (SELECT a.doc_id, a.tile, coalesce(dot, 0) / (sqrt(a.q) * sqrt(b.q)) AS similarity FROM norm a JOIN norm b ON b.doc_id = a.doc_id AND b.tile = a.tile + 5 LEFT JOIN dots d ON d.doc_id = a.doc_id AND d.tile = a.tile)"""
+
+_PEAKS = "seen AS (SELECT *, lag(depth) OVER w AS l, lead(depth) OVER w AS r, max(depth) OVER (PARTITION BY doc_id) AS most FROM depths WINDOW w AS (PARTITION BY doc_id ORDER BY tile))"
+
+#: Topics in the sentences of each language's rules; a boundary starts a scene, and a text with boundaries has three times the target.
+_TOPICS = (
+    f"{_WITH}{SENT}, en_long AS (SELECT sent.doc_id, sent.index, sent.text FROM sent JOIN documents d ON d.doc_id = sent.doc_id WHERE length(d.text) >= 100)"
+    + _again(TERMS[len(EN) :], ("en",), "_long")
+    + f", depths AS ({_depth('sims')}), {_PEAKS}, mark AS (SELECT doc_id, tile FROM seen WHERE depth > greatest(0.3, most * 0.3) AND depth >= l AND depth >= r),"
+    + r"""
+clean AS (SELECT s.doc_id, s.text, tile IS NOT NULL AS topic, row_number() OVER (PARTITION BY s.doc_id ORDER BY index) AS i FROM sent s LEFT JOIN mark ON mark.doc_id = s.doc_id AND mark.tile = s.index WHERE NOT regexp_matches(s.text, '^[\s\-—*=~•]{2,}$')),
+goal AS (SELECT doc_id, CASE WHEN bool_or(topic) THEN 57 ELSE 19 END AS most FROM clean GROUP BY doc_id),
+walk(doc_id, i, scene, acc, n) AS (
+  SELECT doc_id, i, 0, length(text), 1 FROM clean WHERE i = 1
+  UNION ALL
+  SELECT doc_id, i, CASE WHEN fits THEN scene ELSE scene + 1 END, CASE WHEN fits THEN acc + size ELSE size END, CASE WHEN fits THEN n + 1 ELSE 1 END
+  FROM (SELECT c.doc_id, c.i, length(c.text) AS size, w.scene, w.acc, w.n, NOT c.topic AND (w.acc + length(c.text) <= most OR w.n <= 1) AS fits FROM walk w JOIN clean c ON c.doc_id = w.doc_id AND c.i = w.i + 1 JOIN goal ON goal.doc_id = c.doc_id))
+SELECT lang.doc_id, CASE WHEN v IS NULL THEN 'tier3_rule' WHEN v THEN 'tier2_semantic' ELSE 'tier3_rule_fallback' END AS tier_used, coalesce(m, 0) AS n_topics, coalesce(k, 0) AS total_scenes FROM lang
+LEFT JOIN (SELECT doc_id, sum(length(text)) / count(*) > 1 AND sum(length(text)) / count(*) < 1000 AS v FROM sent GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE topic) AS m FROM clean GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT doc_id, CAST(max(scene) + 1 AS BIGINT) AS k FROM walk GROUP BY doc_id) USING (doc_id)"""
+)
+
+ORACLES |= {
+    "zh_tokens": "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_tokens, md5(array_to_string(regexp_extract_all(text, '(?s).'), '|')) AS tokens_md5 FROM documents",
+    "script_analysis": f"SELECT doc_id, synopsis, 0 AS n_characters, 0 AS n_settings FROM ({ORACLES['synopsis']})",
+    "compare_strategies": f"{_WITH}{_KEPT},{_LONGER} SELECT doc_id, n_a, n_b FROM (SELECT doc_id, count(*) AS n_a FROM scenes GROUP BY doc_id) JOIN (SELECT doc_id, count(*) AS n_b FROM scenes39 GROUP BY doc_id) USING (doc_id)",
+    "prompt_contexts": f"{_WITH}{_KEPT}, syn AS ({ORACLES['synopsis']}) SELECT doc_id, CAST(i - 1 AS INTEGER) AS position, text AS prompt, {_PLATFORM} AS platform, nullif(synopsis, '') AS synopsis FROM clean JOIN syn USING (doc_id)",
+    "scene_merge_short": f"{_WITH}{SCENES},{_shortest('scenes')} SELECT doc_id, CAST(g AS INTEGER) AS segment_id, text, n_sentences FROM merged",
+    "paragraph_scenes": _LINES,
+    "text_chunks": f"{_WITH}{_SRC},{_chunks(2000)} SELECT doc_id, chunk_no, chunks_total, text FROM chunk",
+    "chunk_pipeline": _CHUNKED,
+    "tt_token_boundaries": f"WITH {_TOKENS}, depths AS ({_depth('sims')}), {_PEAKS} SELECT seen.doc_id, CAST(tile AS INTEGER) AS index, CAST(position AS BIGINT) AS position FROM seen JOIN place ON place.doc_id = seen.doc_id AND place.index = tile WHERE depth > greatest(0.15, most * 0.4) AND depth >= l AND depth >= r",
+    "topic_pipeline": _TOPICS,
+    "dict_match_all": f'WITH {_PHRASES} SELECT doc_id, start, "end", phrase FROM found',
+    "dict_match_longest": f'WITH {_PHRASES} SELECT doc_id, start, "end", phrase FROM long',
+    "interval_merge": f"WITH {_PHRASES} {_merged('found')}",
+    "dict_split": _SPLIT,
+}

@@ -88,6 +88,11 @@ def zh_rule_sentences(spark, sf_dir):
     return _rows(let(_docs(spark, sf_dir), texts=chinese.sentences(F.col("text"))))
 
 
+def zh_tokens(spark, sf_dir):
+    found = chinese.tokens(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", F.size(found).cast("long").alias("n_tokens"), F.md5(F.array_join(found, "|")).alias("tokens_md5"))
+
+
 def ja_rule_sentences(spark, sf_dir):
     return _rows(let(_docs(spark, sf_dir), texts=japanese.sentences(F.col("text"))))
 
@@ -297,10 +302,10 @@ def key_terms_top10(spark, sf_dir):
 
 
 def _phrases(spark, sf_dir):
-    """A dictionary: the last words of benchmark items if of three to six characters, and some that overlap."""
+    """A dictionary: the last words of benchmark items, and some that overlap; phrases of one character are none."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.element_at(F.split(strip(F.col("text")), " "), -1).alias("phrase"))
     more = spark.createDataFrame([(p,) for p in ("the", "then", "hen", "ation", "tion")], "phrase string")
-    return items.unionByName(more).where(F.length("phrase").between(3, 6)).distinct()
+    return items.unionByName(more).where(F.length("phrase") >= 2).distinct()
 
 
 def dict_match_all(spark, sf_dir):
@@ -338,7 +343,7 @@ def conversation_sentences(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        doc_totals, lang_detect, lang_summary, lang_route, blank_filter, paragraphs, separator_filter, en_sentences, en_tokens, en_abbrev_protect, zh_rule_sentences, ja_rule_sentences, split_tiers,
+        doc_totals, lang_detect, lang_summary, lang_route, blank_filter, paragraphs, separator_filter, en_sentences, en_tokens, en_abbrev_protect, zh_rule_sentences, zh_tokens, ja_rule_sentences, split_tiers,
         sentence_records, length_status, length_status_hist, length_warnings, length_resplit, text_chunks, chunk_pipeline, scene_pack, scene_text, label_totals, scene_merge_short,
         paragraph_scenes, tt_terms, tt_similarity, tt_depth, tt_boundaries, tt_token_boundaries, topic_pipeline, jaccard_adjacent, subtitle_times, srt_cues, ass_cues, srt_files, ass_files,
         srt_offsets, subtitle_totals, subtitle_blocks, storyboard, result_json, service_response, prompt_requests, prompt_contexts, compare_strategies, era_classify, mood_first_match,

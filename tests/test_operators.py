@@ -207,9 +207,9 @@ def test_rules_can_be_loaded(spark, tmp_path):
     path.write_text('{"phrases": ["农耕社会"], "marks": "。"}', encoding="utf-8")
     rules = Rules.load(path)
     assert rules.phrases == ("农耕社会",) and rules.marks == "。" and rules.blanks == Rules().blanks
-    docs = io.from_texts(spark, ["一二三四五六七八九，甲乙丙丁戊己庚辛。"])
+    docs = io.from_texts(spark, ["一二三四五六七八，甲乙丙丁。"])
     blocks = lambda over: [s.text for s in plan.segment(docs, over).first().scenes[0].subtitles]
-    assert blocks({}) == ["一二三四五六七八九", "甲乙丙丁戊己庚辛"] and "，" in "".join(blocks({"subtitle": {"rules_path": str(path)}}))
+    assert blocks({}) == ["一二三四五六七八", "甲乙丙丁"] and blocks({"subtitle": {"rules_path": str(path)}}) == ["一二三四五六七八，甲乙丙丁"]
     path.write_text('{"other": 1}')
     with pytest.raises(ValueError):
         Rules.load(path)
