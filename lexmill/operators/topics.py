@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from itertools import pairwise
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -88,8 +88,8 @@ def boundaries(rows: DataFrame, id_col: str = "doc_id", window: int = 3, step: i
     return found.join(near, [id_col, "index"]).select(id_col, "index", "position", "depth_score", "confidence", right30.alias("text_before"), F.substring("after", 1, 30).alias("text_after"))
 
 
-def starts_of(counts: list[Counter[str]], window: int = 3, step: int | None = None, threshold: float = 0.15, smoothing: int = 0) -> list[int]:
-    """Indexes of the sentences that start a topic, of one document's term counts by sentence: what `boundaries` finds, row by row."""
+def peaks_of(counts: list[Counter[str]], window: int = 3, step: int | None = None, threshold: float = 0.15, smoothing: int = 0) -> list[tuple[int, float, float]]:
+    """(index, depth, confidence) of the sentences that start a topic, of one document's term counts by sentence."""
     step = step or max(1, window // 2)
     if len(counts) < 2 * window:
         return []
@@ -104,24 +104,43 @@ def starts_of(counts: list[Counter[str]], window: int = 3, step: int | None = No
     for _ in range(max(0, smoothing)):
         sims = [(sims[k - 1] + 2 * c + sims[k + 1]) / 4 if 0 < k < len(sims) - 1 else c for k, c in enumerate(sims)]
     deep = [max(0.0, sims[k - 1] + sims[k + 1] - 2 * c) if 0 < k < len(sims) - 1 else 0.0 for k, c in enumerate(sims)]
-    least = max(threshold, 0.3 * max(deep, default=0.0))
-    return [places[k] for k in range(1, len(deep) - 1) if deep[k] > least and deep[k] >= deep[k - 1] and deep[k] >= deep[k + 1]]
+    most = max(deep, default=0.0)
+    least = max(threshold, 0.3 * most)
+    return [(places[k], deep[k], min(1.0, deep[k] / most)) for k in range(1, len(deep) - 1) if deep[k] > least and deep[k] >= deep[k - 1] and deep[k] >= deep[k + 1]]
 
 
-def mark_topics(docs: DataFrame, texts_col: str = "texts", shortest: int = 100, text_col: str = "text", **tiling) -> DataFrame:
-    """Adds `topic_starts`, the indexes of sentences that start a topic; short texts have none.
+def find_topics(docs: DataFrame, texts_col: str = "texts", out_col: str = "topics", **tiling) -> DataFrame:
+    """Adds an array of (index, position, depth_score, confidence, text_before, text_after) of sentences that start a topic.
 
-    Terms are expressions; tiles, similarities and peaks are found inside the row in Arrow batches, so nothing is shuffled
-    and rows need no ids.
+    What `boundaries` gives, but terms are expressions, and tiles, similarities and peaks are found inside the row in Arrow
+    batches, so nothing is shuffled and rows need no ids.
     """
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def starts(sentences: pd.Series) -> pd.Series:
-        return pd.Series([starts_of([Counter(s) for s in x], **tiling) if x is not None else [] for x in sentences], dtype=object)
+    @F.pandas_udf(T.ArrayType(T.StructType.fromDDL("index int, position long, depth_score double, confidence double")))
+    def found(sentences: pd.Series, lengths: pd.Series) -> pd.Series:
+        out = []
+        for told, sizes in zip(sentences, lengths, strict=True):
+            starts = [0, *accumulate(n + 1 for n in (() if sizes is None else sizes.tolist()))]
+            out.append([(k, int(starts[k]), depth, sure) for k, depth, sure in peaks_of([Counter(s) for s in told], **tiling)] if told is not None else [])
+        return pd.Series(out, dtype=object)
+
+    texts = F.col(texts_col)
+    counted = let(docs, _terms=F.transform(texts, terms))
+    marked = let(counted, _peaks=found(F.col("_terms"), F.transform(texts, F.length)))
+
+    def with_texts(p: Column) -> Column:
+        before, after = F.coalesce(F.get(texts, p["index"] - 1), F.lit("")), F.concat(F.get(texts, p["index"]), F.coalesce(F.get(texts, p["index"] + 1), F.lit("")))
+        right30 = F.substring(before, F.greatest(F.length(before) - 29, F.lit(1)), F.lit(30))
+        return p.withField("text_before", right30).withField("text_after", F.substring(after, 1, 30))
 
+    return marked.withColumn(out_col, F.transform("_peaks", with_texts)).drop("_terms", "_peaks")
+
+
+def mark_topics(docs: DataFrame, texts_col: str = "texts", shortest: int = 100, text_col: str = "text", **tiling) -> DataFrame:
+    """Adds `topic_starts`, the indexes of sentences that start a topic; short texts have none."""
     long_ = F.coalesce(F.length(text_col) >= shortest, F.lit(False))
-    counted = let(docs, _terms=F.when(long_, F.transform(texts_col, terms)))
-    return let(counted, topic_starts=starts(F.col("_terms"))).drop("_terms")
+    marked = find_topics(docs.withColumn("_long", F.when(long_, F.col(texts_col))), "_long", "_topics", **tiling)
+    return marked.withColumn("topic_starts", F.coalesce(F.col("_topics.index"), F.array().cast("array<int>"))).drop("_long", "_topics")
 
 
 def semantic_records(texts: Column, language: Column, starts: Column) -> Column:

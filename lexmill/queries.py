@@ -173,7 +173,7 @@ def tt_depth(spark, sf_dir):
 
 
 def tt_boundaries(spark, sf_dir):
-    found = topics.boundaries(_rows(_english(spark, sf_dir)), threshold=0.3)
+    found = topics.find_topics(_english(spark, sf_dir), threshold=0.3).select("doc_id", F.inline("topics"))
     return found.select("doc_id", "index", F.col("position").cast("long").alias("position"), F.round("depth_score", 6).alias("depth_score"), "text_before", "text_after")
 
 

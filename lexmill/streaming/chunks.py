@@ -24,16 +24,23 @@ def split_chunks(chunks: DataFrame, config: dict[str, Any] | None = None) -> Dat
     return sentences.split_texts(detect(chunks).drop("confidence")).select("doc_id", "chunk_no", "chunks_total", "texts")
 
 
-def events(chunks: DataFrame, config: dict[str, Any] | None = None) -> DataFrame:
+def events(chunks: DataFrame, config: dict[str, Any] | None = None, wait_minutes: float | None = None) -> DataFrame:
     """A stream of (doc_id, chunk_no, chunks_total, text) as events.
 
     Each chunk gives a progress event with the sentences so far, once; a repeated chunk gives none. The last missing chunk
-    also gives the result event with all sentences in order. State lives until then.
+    also gives the result event with all sentences in order, and the state goes. Where `wait_minutes` is given (as it should
+    be on streams that may lose chunks), a document to which no chunk comes for so long gives an error event with the
+    number of its sentences so far, and its state goes; the query then also runs batches without data.
     """
+    columns = ["doc_id", "event", "chunk_index", "chunks_total", "sentences_so_far", "texts"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = {no: list(texts) for no, texts in state.get[1]} if state.exists else {}
         rows = []
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], "error", max(held, default=0), None, sum(map(len, held.values())), [])], columns=columns)
+            return
         for pdf in batches:
             for r in pdf.sort_values("chunk_no").itertuples():
                 if int(r.chunk_no) in held:
@@ -46,9 +53,11 @@ def events(chunks: DataFrame, config: dict[str, Any] | None = None) -> DataFrame
             state.remove()
         else:
             state.update((len(held), [(no, texts) for no, texts in held.items()]))
-        yield pd.DataFrame(rows, columns=["doc_id", "event", "chunk_index", "chunks_total", "sentences_so_far", "texts"])
+            if wait_minutes is not None:
+                state.setTimeoutDuration(max(1, int(wait_minutes * 60_000)))
+        yield pd.DataFrame(rows, columns=columns)
 
-    return split_chunks(chunks, config).groupBy("doc_id").applyInPandasWithState(step, EVENTS, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return split_chunks(chunks, config).groupBy("doc_id").applyInPandasWithState(step, EVENTS, _STATE, "append", GroupStateTimeout.NoTimeout if wait_minutes is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def results(stream_events: DataFrame, config: dict[str, Any] | None = None) -> DataFrame:

@@ -151,6 +151,8 @@ def test_topics_in_the_row_are_those_of_the_tables(spark):
         for r in topics.boundaries(rows, **more).collect():
             table.setdefault(r.doc_id, []).append(r["index"])
         assert {k: v for k, v in told.items() if v} == {k: sorted(v) for k, v in table.items()} and any(told.values())
+        rows_of = lambda found: sorted((r.doc_id, r["index"], r.position, round(r.depth_score, 9), round(r.confidence, 9), r.text_before, r.text_after) for r in found.collect())
+        assert rows_of(topics.find_topics(docs, **more).select("doc_id", F.inline("topics"))) == rows_of(topics.boundaries(rows, **more))
     assert [r.topic_starts for r in topics.mark_topics(docs.withColumn("text", F.lit("short"))).collect()] == [[]] * 25
 
 
@@ -213,3 +215,24 @@ def test_rules_can_be_loaded(spark, tmp_path):
     path.write_text('{"other": 1}')
     with pytest.raises(ValueError):
         Rules.load(path)
+
+
+def test_stream_gives_up_on_lost_chunks(spark, tmp_path):
+    import time
+
+    schema = "doc_id long, chunk_no int, chunks_total int, text string"
+    spark.createDataFrame([(1, 0, 2, "One two. Three four."), (2, 0, 1, "Five six.")], schema).write.parquet(str(tmp_path / "in"))
+    query = chunks.events(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), wait_minutes=0.01).writeStream.format("memory").queryName("lost").outputMode("append").trigger(processingTime="1 second").option("checkpointLocation", str(tmp_path / "cp")).start()
+    for _ in range(60):
+        time.sleep(1)
+        got = {(r.doc_id, r.event): r.sentences_so_far for r in spark.table("lost").collect()}
+        if (1, "error") in got:
+            break
+    query.stop()
+    assert got == {(1, "progress"): 2, (1, "error"): 2, (2, "progress"): 1, (2, "result"): 1}
+
+
+def test_results_of_a_stream(spark):
+    done = spark.createDataFrame([(1, "result", ["One two.", "Three four."]), (1, "progress", [])], "doc_id long, event string, texts array<string>")
+    row = chunks.results(done).first()
+    assert row.language == "en" and [s.text for s in row.sentences] == ["One two.", "Three four."] and row.total_scenes >= 1
