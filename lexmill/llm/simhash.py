@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import checkpointed, free_name, mix, shuffle_partitions, spread_join
+from lexmill.llm.common import checkpointed, free_name, mix, shuffle_partitions, spread_join, written
 from lexmill.llm.components import connected_components
 
 SEED = 42
@@ -38,7 +38,7 @@ SEED = 42
 DENSE = 2048
 #: Keys of least hashes by text, and the least hashes in each.
 BANDS, BAND_ROWS = 24, 4
-#: Texts of a block that meet in one task, and the most tiles that a larger block is dealt into.
+#: Texts of a block that meet in one task, and the most tiles that those of a larger block which aren't close to its first are dealt into.
 TILE, MOST_TILES = 512, 16
 
 
@@ -351,16 +351,20 @@ def band_keys(hashes: np.ndarray, factors: tuple[np.ndarray, np.ndarray], part:
     return out
 
 
-def similar_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+def similar_links(sets: list[np.ndarray], least: float, together: list[int] = ()) -> list[tuple[int, int]]:
     """Links (positions) that connect all sets whose similarity is `least` or more, each link of such a pair.
 
-    Pairs that links connect already aren't compared again; sets of very different sizes can't be similar.
+    Pairs that links connect already aren't compared again, nor are those of positions that are known to be together; sets
+    of very different sizes can't be similar.
     """
     order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
     sizes = np.array([len(sets[k]) for k in order], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     words, ids = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
     groups, held = _Groups(len(order)), np.zeros(len(words), bool)
+    if len(together) > 1:
+        place = np.argsort(np.array(order))[np.array(together)]
+        groups.parent[place] = place.min()
     for k in range(len(order)):
         # larger sets up to the size that the similarity allows
         end = int(np.searchsorted(sizes, sizes[k] / least + 1e-9, side="right"))
@@ -387,8 +391,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Candidates come from the close fingerprints of `near_duplicates_wide` and from keys of least hashes: two sets of
     similarity s share one of the 24 keys but for a chance of (1 - s^4)^24, 3 in a million at 0.8. Candidates only make
-    blocks; the sets of a block meet and all their pairs are compared, so a link is always a true one. A large block
-    is dealt into tiles and every two tiles meet in a task of their own, so that none is left out or lands in one task.
+    blocks; the sets of a block meet and all their pairs are compared, so a link is always a true one. In a large block
+    each set is first compared with the block's first one. Those close to it are in one group already and needn't meet each
+    other; the others meet all sets of the block, dealt into tiles and parts that meet in tasks of their own, so that none
+    is left out or lands in one task.
     """
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,15 +438,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [shingle_set(t, shingle).tobytes() for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
-            yield pa.record_batch({"node": batch.column("node"), "block": batch.column("block"), "tiles": batch.column("tiles"), "held": pa.array(made, pa.large_binary())})
+            yield pa.record_batch({"node": batch.column("node"), "block": batch.column("block"), "n": batch.column("n"), "held": pa.array(made, pa.large_binary())})
+
+    def near_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, first = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("held", "first_held"))
+            close = [bool(similar_links([a, b], similarity)) for a, b in zip(first, held, strict=True)]
+            yield pa.record_batch({"node": batch.column("node"), "block": batch.column("block"), "first": batch.column("first"), "close": pa.array(close, pa.bool_())})
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+        met: dict[tuple[int, int], list[tuple[int, np.ndarray, bool]]] = {}
         for b in batches:
-            for block, pair, node, held in zip(*(b.column(c).to_pylist() for c in ("block", "pair", "node", "held")), strict=True):
-                met.setdefault((block, pair), []).append((node, np.frombuffer(held, np.uint64)))
+            for block, pair, node, held, close in zip(*(b.column(c).to_pylist() for c in ("block", "pair", "node", "held", "close")), strict=True):
+                met.setdefault((block, pair), []).append((node, np.frombuffer(held, np.uint64), close))
         for own in met.values():
-            found = similar_links([x for _, x in own], similarity)
+            found = similar_links([x for _, x, _ in own], similarity, [k for k, (_, _, close) in enumerate(own) if close])
             yield pa.record_batch({"a": pa.array([own[a][0] for a, _ in found], pa.int64()), "b": pa.array([own[b][0] for _, b in found], pa.int64())})
 
     n = shuffle_partitions(docs.sparkSession)
@@ -449,16 +461,32 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = found.groupBy("node").agg(F.first("fps").alias("fps"), F.first("bands").alias("bands")).where(F.size("bands") > 0)
     edges = nodes.mapInArrow(entries, "key long, fp long, node long").repartition(n, "key").mapInArrow(links, "a long, b long")
     blocks = checkpointed(connected_components(edges).withColumnRenamed("component", "block"))
-    tiles = F.least(F.lit(MOST_TILES), F.ceil(F.col("n") / TILE)).cast("int")
-    sized = spread_join(blocks, blocks.groupBy("block").agg(F.count("*").alias("n")), "block").select("node", "block", tiles.alias("tiles"))
+    sized = spread_join(blocks, blocks.groupBy("block").agg(F.count("*").alias("n")), "block").select("node", "block", "n")
     # one row a node brings the text whose set is compared
     one = found.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).join(sized, "node")
-    one = one.select("node", "block", "tiles", F.col("r.doc_id").alias("_id"), F.col("r.text_hash").alias("_hash"))
-    texts = rows.join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("node", "block", "tiles", "text")
-    tile = F.pmod("node", "tiles").cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda u: F.least(tile, u) * MOST_TILES + F.greatest(tile, u))
-    met = texts.mapInArrow(sets, "node long, block long, tiles int, held binary").select("node", "block", "held", F.explode(pairs).alias("pair"))
+    one = one.select("node", "block", "n", F.col("r.doc_id").alias("_id"), F.col("r.text_hash").alias("_hash"))
+    texts = rows.join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("node", "block", "n", "text")
+    held = written(texts.mapInArrow(sets, "node long, block long, n long, held binary"), "shingle-sets")
+    # a large block's nodes are compared with its first one; those close to it are linked through it
+    large = held.where(F.col("n") > TILE)
+    firsts = large.groupBy("block").agg(F.min("node").alias("first"))
+    firsts = firsts.join(large.select(F.col("node").alias("_n"), F.col("held").alias("first_held")), F.col("first") == F.col("_n")).drop("_n")
+    told = written(spread_join(large.select("node", "block", "held"), firsts, "block", 100).mapInArrow(near_first, "node long, block long, first long, close boolean"), "close-to-first")
+    apart = told.groupBy("block").agg(F.count(F.when(~F.col("close"), 1)).alias("apart"), F.count("*").alias("all")).where("apart > 0")
+    # what isn't close meets all of its block: each other by tiles, the close ones by parts
+    spread = spread_join(told.select("node", "block", "close"), apart, "block", 100).withColumnRenamed("node", "_n")
+    tiles = F.least(F.lit(MOST_TILES), F.ceil(F.col("apart") / TILE)).cast("int")
+    parts = F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("apart")) / TILE)).cast("int")
+    spread = spread.select("_n", "close", tiles.alias("tiles"), parts.alias("parts"))
+    tile, part = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    among = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda u: F.least(tile, u) * MOST_TILES + F.greatest(tile, u))
+    with_parts = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda k: k * MOST_TILES * MOST_TILES + tile)
+    with_tiles = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda u: (part + 1) * MOST_TILES * MOST_TILES + u)
+    pairs = F.when(F.col("close"), with_tiles).otherwise(F.concat(among, with_parts))
+    met = large.join(spread, F.col("node") == F.col("_n")).select("node", "block", "held", "close", F.explode(pairs).alias("pair"))
+    met = met.unionByName(held.where(F.col("n") <= TILE).select("node", "block", "held", F.lit(False).alias("close"), F.lit(-1).alias("pair")))
     true = met.repartition(n, "block", "pair").mapInArrow(verified, "a long, b long")
+    true = true.unionByName(told.where("close AND node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")))
     component = connected_components(true).withColumnRenamed("node", "_n")
     identity = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     grouped = found.groupBy("node").agg(F.min(identity).alias("least")).join(component, F.col("node") == F.col("_n"), "left")

@@ -323,3 +323,20 @@ def test_spread_join(spark):
     told = rows.groupBy("k").agg(F.count("*").alias("n"))
     got = spread_join(rows, told, "k", 10)
     assert got.columns == ["k", "id", "n"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(told, "k").collect()))
+
+
+def test_similar_links_of_sets_that_are_together():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(np.concatenate([np.arange(100, dtype=np.uint64)[: 100 - k], rng.integers(1000, 2**60, k).astype(np.uint64)])) for k in (0, 5, 9, 30, 2, 60)]
+    plain = similar_links(sets, 0.8)
+    joined = similar_links(sets, 0.8, [0, 1, 4])
+    group = lambda links, start: {frozenset(g) for g in _united(start + [set(x) for x in links] + [{k} for k in range(6)])}
+    assert group(joined, [{0, 1, 4}]) == group(plain, []) and not any({a, b} <= {0, 1, 4} for a, b in joined)
+
+
+def _united(parts):
+    out = []
+    for p in parts:
+        meets = [o for o in out if o & p]
+        out = [o for o in out if not o & p] + [set().union(p, *meets)]
+    return out
