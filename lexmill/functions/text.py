@@ -73,3 +73,20 @@ def split_long(c: Column, pattern: str, most: int) -> Column:
     parts = nonempty(F.transform(F.split(c, pattern, -1), strip))
     cut = F.transform(parts, lambda p: F.when(F.length(p) > most, F.transform(slices(p, most), strip)).otherwise(F.array(p)))
     return F.when(F.length(c) > most, nonempty(F.flatten(cut))).otherwise(F.array(c))
+
+
+def two_decimals(x: Column) -> Column:
+    """A double that isn't negative, rounded to two decimals by its exact binary value; true ties go to the even neighbour.
+
+    Spark's own rounding takes the shortest decimal text of the double, so that 0.575 (a little less than that) becomes 0.58.
+    A double that isn't the tie's own lies on the side that comparing tells. For the tie's own, halves of the bits are
+    multiplied apart, without an error.
+    """
+
+    def near(b: Column) -> Column:
+        tie, high = (b["m"] + 0.5) / 100, b["x"] * 134217729.0 - (b["x"] * 134217729.0 - b["x"])
+        beyond = (high * 200 - (b["m"] * 2 + 1)) + (b["x"] - high) * 200
+        up = F.when(b["x"] != tie, b["x"] > tie).when(beyond != 0, beyond > 0).otherwise(b["m"] % 2 == 1)
+        return (b["m"] + up.cast("double")) / 100
+
+    return once(x.cast("double"), lambda v: once(F.struct(v.alias("x"), F.floor(v * 100).cast("double").alias("m")), near))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import two_decimals
+
 #: The header and style of the ASS format, platforms by language, styles by era.
 ASS_HEADER = "[Script Info]\nTitle: {title}\nScriptType: v4.00+\nCollisions: Normal\nPlayResX: 1920\nPlayResY: 1080\n\n"
 ASS_STYLE = (
@@ -89,7 +91,7 @@ def storyboard(docs: DataFrame, id_col: str = "doc_id", scenes_col: str = "scene
     def item(s: Column) -> Column:
         who, where, mood, era = has(s, "characters", none), has(s, "setting", empty), has(s, "mood", empty), has(s, "era", F.lit(None).cast("string"))
         return F.struct(
-            s["segment_id"].alias("scene_id"), s["text"].alias("text"), F.bround(s["estimated_duration"], 2).alias("duration_s"), who.alias("characters"), where.alias("setting"), mood.alias("mood"),
+            s["segment_id"].alias("scene_id"), s["text"].alias("text"), two_decimals(s["estimated_duration"]).alias("duration_s"), who.alias("characters"), where.alias("setting"), mood.alias("mood"),
             empty.alias("phase"), image_hint(s["text"], who, where, mood, era).alias("image_hint"), era.alias("era"),
             F.struct(empty.alias("previous_setting"), empty.alias("next_setting"), who.alias("characters_here")).alias("scene_context"))
 
@@ -98,7 +100,7 @@ def storyboard(docs: DataFrame, id_col: str = "doc_id", scenes_col: str = "scene
         (F.col("script.synopsis") if script else empty).alias("story_synopsis"),
         (F.transform("script.characters", lambda c: F.struct(c.alias("name"))) if script else F.array().cast("array<struct<name:string>>")).alias("characters"),
         (F.col("script.settings") if script else none).alias("settings"), F.size(scenes_col).alias("total_scenes"),
-        F.bround(F.aggregate(F.col(scenes_col), F.lit(0.0), lambda a, s: a + s["estimated_duration"]), 2).alias("total_duration"), F.transform(scenes_col, item).alias("scenes"))
+        two_decimals(F.aggregate(F.col(scenes_col), F.lit(0.0), lambda a, s: a + s["estimated_duration"])).alias("total_duration"), F.transform(scenes_col, item).alias("scenes"))
     return docs.select(id_col, F.to_json(board, {"ignoreNullFields": "false"}).alias("storyboard"))
 
 

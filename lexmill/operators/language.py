@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import is_blank, let, strip
+from lexmill.functions.text import is_blank, let, strip, two_decimals
 
 #: Character classes and punctuation that doesn't count.
 CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}"
@@ -41,7 +41,7 @@ def language_of(c: Column, blank: Column) -> Column:
 def confidence_of(c: Column, language: Column, blank: Column) -> Column:
     n = c["cjk"] + c["kana"] + c["ascii"]
     own = F.when(language == "ja", c["kana"] + c["cjk"]).when(language == "zh", c["cjk"]).when(language == "en", c["ascii"])
-    value = F.when(language == "mixed", F.lit(0.5)).otherwise(F.bround(own / F.greatest(n, F.lit(1)), 2))
+    value = F.when(language == "mixed", F.lit(0.5)).otherwise(two_decimals(own / F.greatest(n, F.lit(1))))
     return F.when(blank | (n == 0), F.lit(0.0)).otherwise(value)
 
 

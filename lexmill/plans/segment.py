@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill import config as settings
-from lexmill.functions.text import is_blank, let, row_key
+from lexmill.functions.text import is_blank, let, row_key, two_decimals
 from lexmill.operators import dictionary, era, length, scenes, script, sentences, subtitles, topics
 from lexmill.operators.language import detect, paragraphs, route
 from lexmill.operators.model_tier import Model, with_model_tier
@@ -115,9 +115,9 @@ def around_phrases(docs: DataFrame, phrases: DataFrame) -> DataFrame:
 
 def to_json(docs: DataFrame) -> DataFrame:
     """(doc_id, json): a document's result as one JSON text, durations with two decimals, nulls kept."""
-    rounded = F.transform("scenes", lambda s: s.withField("estimated_duration", F.bround(s["estimated_duration"], 2)))
+    rounded = F.transform("scenes", lambda s: s.withField("estimated_duration", two_decimals(s["estimated_duration"])))
     fields = [c for c in ("language", "tier_used", "total_words", "total_scenes", "script") if c in docs.columns]
-    counted = F.struct(*fields, F.bround("total_duration", 2).alias("total_duration"), F.size("sentences").alias("sentence_count"), "sentences", rounded.alias("scenes"))
+    counted = F.struct(*fields, two_decimals(F.col("total_duration")).alias("total_duration"), F.size("sentences").alias("sentence_count"), "sentences", rounded.alias("scenes"))
     return docs.select("doc_id", F.to_json(counted, {"ignoreNullFields": "false"}).alias("json"))
 
 

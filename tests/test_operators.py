@@ -236,3 +236,39 @@ def test_results_of_a_stream(spark):
     done = spark.createDataFrame([(1, "result", ["One two.", "Three four."]), (1, "progress", [])], "doc_id long, event string, texts array<string>")
     row = chunks.results(done).first()
     assert row.language == "en" and [s.text for s in row.sentences] == ["One two.", "Three four."] and row.total_scenes >= 1
+
+
+def test_two_decimals_are_those_of_the_binary_value(spark):
+    import random
+
+    from lexmill.functions.text import two_decimals
+
+    seeded = random.Random(3)
+    given = [k / 200 for k in range(0, 4000)] + [k / 3.3 for k in range(500)] + [seeded.random() * 10 ** seeded.randrange(7) for _ in range(2000)] + [0.0, 0.125, 0.375, 1e9 + 0.005]
+    rows = spark.createDataFrame([(x,) for x in given], "x double").select("x", two_decimals(F.col("x")).alias("y")).collect()
+    assert [(r.x, r.y) for r in rows if r.y != round(r.x, 2)] == []
+
+
+def test_han_and_kana_queries_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    from lexmill import han
+
+    texts = ["Then the end.He said. Zo (a. b) er on!", "", "\n\n", "...", "Sword by the er on. " * 40, "th. th, th; \tth! 'q' # a/b c", "éé äö 12", "z", "Two.\n#no\n  er/x on"]
+    spark.createDataFrame([(k, t, "en" if k % 2 else None) for k, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name, query in han.QUERIES.items():
+        got = query(spark, str(tmp_path))
+        names = sorted(got.columns)
+        own = sorted(([r[c] for c in names] for r in got.collect()), key=repr)
+        sql = db.sql(f"SELECT {', '.join(names)} FROM ({han.ORACLES[name]})").fetchall()
+        assert own == sorted(map(list, sql), key=repr), name
+
+
+def test_null_texts_in_han_and_kana_queries(spark, tmp_path):
+    from lexmill import han
+
+    spark.createDataFrame([(1, None, None), (None, "a", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    for query in han.QUERIES.values():
+        query(spark, str(tmp_path)).collect()
